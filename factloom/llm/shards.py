@@ -22,7 +22,7 @@ from pyspark.sql.types import StructType
 U64 = np.uint64
 SHARD_BYTES = 2 << 20
 PUBLISHED = "kind int, rng int, shard int, keys binary, more binary"
-ANSWER = "kind int, rng int, shard int, n int, mask binary"
+ANSWER = "kind int, rng int, shard int, n int, mask binary, first binary"
 
 
 class Sharded:
@@ -99,10 +99,15 @@ def _merge(packed: bool) -> Callable[[pa.Table], pa.Table]:
             every, beside = every[order], beside[order]
             same = (every[1:] == every[:-1]) & (beside[1:] == beside[:-1])
             again, also = every[1:][same], beside[1:][same]
-        masks = []
-        for i, k in enumerate(keys):
+            new = np.concatenate(([True], (again[1:] != again[:-1]) | (also[1:] != also[:-1]))) if len(again) else np.zeros(0, bool)
+            again, also = again[new], also[new]
+        masks, firsts = [b""] * len(keys), [b""] * len(keys)
+        taken = np.zeros(len(again), bool)
+        shards = table.column("shard").to_pylist()
+        for i in sorted(range(len(keys)), key=shards.__getitem__):
+            k = keys[i]
             at = np.searchsorted(again, k)
-            found = np.zeros(len(k), bool)
+            found, first_here = np.zeros(len(k), bool), np.zeros(len(k), bool)
             left = np.arange(len(k))
             while len(left):  # several entries only where keys agree in 64 bits
                 left = left[at[left] < len(again)]
@@ -111,23 +116,26 @@ def _merge(packed: bool) -> Callable[[pa.Table], pa.Table]:
                 found[left[hit]] = True
                 left = left[~hit]
                 at[left] += 1
-            masks.append(np.packbits(found).tobytes())
+            spots = at[found]
+            first_here[found] = ~taken[spots]
+            taken[spots] = True
+            masks[i], firsts[i] = np.packbits(found).tobytes(), np.packbits(first_here).tobytes()
         return pa.table(
-            [table.column("kind").cast(pa.int32()), table.column("rng"), table.column("shard"), pa.array([len(k) for k in keys], pa.int32()), pa.array(masks, pa.binary())],
-            names=["kind", "rng", "shard", "n", "mask"],
+            [table.column("kind").cast(pa.int32()), table.column("rng"), table.column("shard"), pa.array([len(k) for k in keys], pa.int32()), pa.array(masks, pa.binary()), pa.array(firsts, pa.binary())],
+            names=["kind", "rng", "shard", "n", "mask", "first"],
         )
 
     return merge
 
 
 def merged(found: DataFrame, packed: bool = False) -> DataFrame:
-    """Answers: for each published run, which keys another shard has published too."""
-    return found.groupBy("rng").applyInArrow(_merge(packed), ANSWER)
+    """Answers: for each published run, which keys another shard has published too, and which of these no smaller shard has."""
+    return found.groupBy("kind", "rng").applyInArrow(_merge(packed), ANSWER)
 
 
-def answer(told: pa.Table, kind: int, n: int) -> np.ndarray:
+def answer(told: pa.Table, kind: int, n: int, bits: str = "mask") -> np.ndarray:
     """The bits for a shard's sorted keys."""
-    rows = sorted((r["rng"], r["n"], r["mask"]) for r in told.to_pylist() if r["kind"] == kind)
+    rows = sorted((r["rng"], r["n"], r[bits]) for r in told.to_pylist() if r["kind"] == kind)
     bits = [np.unpackbits(np.frombuffer(m, np.uint8), count=k).astype(bool) for _, k, m in rows]
     out = np.concatenate(bits) if bits else np.zeros(0, bool)
     if len(out) != n:
