@@ -10,9 +10,9 @@ Below that distance, of `distance // 2 + 1` chunks one has at most one error
 (pigeonhole).  Each chunk is indexed once for every place left out, which
 enumerates one error: all pairs under the distance meet under some key.
 
-Equal sets collapse into a class first.  Of the classes under a key, all are
-paired with the one that shares most keys with others, and the links confirmed
-on whole sets give components.  Only where a key then still joins different
+Equal sets collapse into a class first.  The centre of a key is the class under it
+that meets most others; a class is paired with its three weightiest centres, and
+the links confirmed on whole sets give components.  Only where a key then still joins different
 components are its classes compared pairwise, by signature and in tiles of at
 most 256 by 256, and pairs within the distance confirmed on whole sets as well.
 So no group emits all its pairs and no link is lost.
@@ -39,7 +39,7 @@ from .rolling import U64, Prefix, byte_values, column_bytes, mix
 from .shards import PUBLISHED, answer, merged, published
 from .window_dedup import Words
 
-SIZE, SHINGLE, TILE, SHARD_ROWS = 128, 5, 256, 8000
+SIZE, SHINGLE, TILE, SHARD_ROWS, CENTRES = 128, 5, 256, 8000, 3
 SIGNED = "id long, n_shingles long, same binary, sig binary"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -194,7 +194,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = keys.groupBy("key").agg(F.count("*").alias("n"))
     weight = keys.join(counts, "key").groupBy("id").agg(F.sum("n").alias("w"))
     centre = keys.join(weight, "id").groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("m")).select("key", (-F.col("m.i")).alias("c"))
-    pairs = keys.join(centre, "key").where("id <> c").select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct()
+    heavy = F.struct("w", (-F.col("c")).alias("i"))
+    centre = centre.join(weight.withColumnRenamed("id", "c"), "c")
+    stars = keys.join(centre, "key").where("id <> c").groupBy("id").agg(F.slice(F.sort_array(F.collect_set(heavy), asc=False), 1, CENTRES).alias("cs"))
+    stars = stars.select("id", (-F.explode("cs.i")).alias("c"))
+    pairs = stars.select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct()
     pairs = saved(pairs)
     links = saved(_confirmed(pairs, texts, percent, shingle))
     found = components(links)
