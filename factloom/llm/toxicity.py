@@ -9,7 +9,8 @@ restored word.  Words and their beginnings score by smoothed log-odds learnt
 from training labels; a text is as toxic as its worst words.
 
 The character counts come from all training-fold texts; the lexicon is fitted on
-at most `sample_rows` labelled training rows of at most `sample_bytes` bytes.
+at most `sample_rows` labelled training rows of at most `sample_bytes` bytes, one
+of each group of near copies.
 
 Cases: null and empty texts have score 0; texts count whole; without labels all
 scores are 0; tokens above 64 characters are no words and are scored as they
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import saved
 from .rolling import column_bytes
 
 SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 50_000
@@ -42,6 +45,9 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _EDGE = re.compile(r"^[^\w@$*!|+(#%&^]+|[^\w@$*!+#%&^]+$")
 _TRAIL = re.compile(r"[^\w]+$")
 _APART = re.compile(r"(?<!\S)(?:[^\W\d_]|[@$*!|+\d])(?:[ .\-_*]{1,2}(?:[^\W\d_]|[@$!|+\d])){2,}(?!\S)")
+_TAIL = re.compile(r"[^\w]{2,}$")
+_PUNCTUATION = ".,;:?\"'()[]{}<>\u00ab\u00bb\u201c\u201d\u2026-_/\\"
+_SIGNS = "".join(c for c in SIGNS if not c.isalnum())
 _TRIPLE = re.compile(r"(.)\1\1")
 
 
@@ -50,6 +56,15 @@ def shapes(word: str) -> list[str]:
     return [word, *(f"{word[:n]}+" for n in (4, 5, 6, 7) if len(word) >= n)]
 
 
+def words_of(text: str) -> set[str]:
+    return {bare for t in text.lower().split() if (bare := _TRAIL.sub("", _EDGE.sub("", t)))}
+
+
+def copy_key(text: str) -> int:
+    """Least hash of the long words: near copies mostly share it."""
+    return min((zlib.crc32(w.encode()) for w in words_of(text) if len(w) >= 8), default=zlib.crc32(text.encode()))
+
+
 class Channel:
     """Trigram character model and Viterbi decoding. counts: 27**3 of the corpus (0: not a letter)."""
 
@@ -104,13 +119,13 @@ class Channel:
 
 def disguised(token: str) -> bool:
     letters = sum(c.isalpha() for c in token)
-    return 2 <= letters and len(token) <= LONGEST and (letters < len(token) or _TRIPLE.search(token) is not None)
+    return 2 <= letters and 2 * len(token) <= 5 * letters and len(token) <= LONGEST and (letters < len(token) or _TRIPLE.search(token) is not None)
 
 
 class Lexicon:
     """Log-odds of word shapes that toxic rows hold more often than chance (likelihood ratio of at least `least`) explains."""
 
-    def __init__(self, toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, least: float = 10.0):
+    def __init__(self, toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, docs: list[str], least: float = 10.0):
         self.odds = {}
         prior = math.log((n_toxic + 1) / (n_clean + 1))
         share = (n_toxic + 1) / (n_toxic + n_clean + 2)
@@ -119,12 +134,35 @@ class Lexicon:
             ratio = n * math.log(n / ((n + c) * share)) + (c * math.log(c / ((n + c) * (1 - share))) if c else 0.0)
             if n > share * (n + c) and ratio >= least:
                 odds = math.log((n + 0.1) / (n_toxic + 1)) - math.log((clean[shape] + 0.1) / (n_clean + 1)) + prior
-                if odds > 1.0:
+                if odds > 3.0:
                     self.odds[shape] = odds
+        self.cover(docs, 2)
         self.words = Counter({s: n for s, n in toxic.items() if s in self.odds and not s.endswith("+")})
+        self.begins = {s.rstrip("+")[:4] for s in self.odds}
+
+    def cover(self, docs: list[str], least: int) -> None:
+        """Keep what tells toxic rows that stronger shapes don't, or a 25th of all: words that only stand beside others go."""
+        held = [{s for w in words_of(t) for s in shapes(w)} & self.odds.keys() for t in docs]
+        at: dict[str, set[int]] = {}
+        for i, found in enumerate(held):
+            for s in found:
+                at.setdefault(s, set()).add(i)
+        left, kept = set(range(len(held))), {s for s, rows in at.items() if 25 * len(rows) >= len(held) and len(rows) >= 5}
+        for s in kept:
+            left -= at[s]
+        while at:
+            best = max(at, key=lambda s: (len(at[s] & left), -len(s), s))
+            gain = at.pop(best) & left
+            if len(gain) < least:
+                break
+            kept.add(best)
+            left -= gain
+        self.odds = {s: self.odds[s] for s in sorted(kept)}
 
     def word(self, word: str) -> float:
-        return max((self.odds.get(s, 0.0) for s in shapes(word)), default=0.0)
+        if word[:4] not in self.begins:
+            return 0.0
+        return max(self.odds.get(s, 0.0) for s in shapes(word))
 
 
 class Scorer:
@@ -132,20 +170,24 @@ class Scorer:
         self.lexicon, self.channel, self.most, self.cache = lexicon, channel, most, {}
 
     def token(self, token: str) -> float:
-        bare = _EDGE.sub("", token)
-        value = max(self.lexicon.word(_TRAIL.sub("", bare)), self.lexicon.word(bare)) if bare else 0.0
+        """Signs in pairs or more at the end only decorate; a single one may hide a letter."""
+        bare = _TAIL.sub("", token.strip(_PUNCTUATION))
+        value, plain = self.lexicon.word(bare), bare.isalpha()
+        if plain and (value or not _TRIPLE.search(bare)):
+            return value
+        if not plain and not value:
+            value = self.lexicon.word(bare.strip(_SIGNS))
         if not value and disguised(bare):
             value = self.lexicon.word(self.channel.decode(bare))
-            if not value and disguised(cut := _TRAIL.sub("", bare)) and cut != bare:
-                value = self.lexicon.word(self.channel.decode(cut))
         return value
 
     def restored(self, text: str) -> list[str]:
         """Tokens of the text, letters set apart joined."""
         low = text.lower()
         tokens = low.split()
-        joined = [re.sub(r"[ .\-_*]", "", m[0]) for m in _APART.finditer(low)] if any(len(t) == 1 for t in tokens) or "." in low else []
-        return tokens + joined
+        if sum(len(t) == 1 for t in tokens) > 2:
+            tokens += [re.sub(r"[ .\-_*]", "", m[0]) for m in _APART.finditer(low)]
+        return tokens
 
     def __call__(self, text: str | None) -> float:
         if not text or not self.lexicon.odds:
@@ -190,7 +232,13 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     marked = labels.where(train & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     texts = docs.where(train).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     picked = marked.orderBy(F.xxhash64("id"), "id", "y").limit(sample_rows)
-    rows = texts.where(F.octet_length("text") <= sample_bytes).join(F.broadcast(picked), "id").select("text", "y")
+    rows = texts.where(F.octet_length("text") <= sample_bytes).join(F.broadcast(picked), "id").select("text", "y").where("text is not null")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("copy", pa.array([copy_key(t) for t in batch.column("text").to_pylist()], pa.int64()))
+
+    rows = saved(rows.mapInArrow(keyed, "text string, y int, copy long").groupBy("copy", "y").agg(F.min("text").alias("text")))
 
     def shapes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = [0, 0]
@@ -198,8 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
         for batch in batches:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 n[y > 0] += 1
-                words = {_EDGE.sub("", t) for t in text.lower().split()}
-                seen[y > 0].update({s for w in words if (bare := _TRAIL.sub("", w)) for s in shapes(bare)})
+                seen[y > 0].update({s for w in words_of(text) for s in shapes(w)})
         both = list(seen[0].keys() | seen[1].keys())
         yield pa.record_batch({"shape": pa.array(["", *both], pa.string()), "clean": pa.array([n[0], *(seen[0][s] for s in both)], pa.int64()), "toxic": pa.array([n[1], *(seen[1][s] for s in both)], pa.int64())})
 
@@ -207,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     kept = sums.where((F.col("shape") == "") | ((F.col("toxic") >= 3) & (F.col("toxic") > F.col("clean") / 8))).collect()
     n = next(((r["clean"], r["toxic"]) for r in kept if r["shape"] == ""), (0, 0))
     kept = [r for r in kept if r["shape"]]
-    lexicon = Lexicon(Counter({r["shape"]: r["toxic"] for r in kept}), Counter({r["shape"]: r["clean"] for r in kept}), n[1], n[0])
+    lexicon = Lexicon(Counter({r["shape"]: r["toxic"] for r in kept}), Counter({r["shape"]: r["clean"] for r in kept}), n[1], n[0], [r[0] for r in rows.where("y > 0").select("text").collect()])
     return Scorer(lexicon, Channel(letter_counts(texts, "text"), lexicon.words))
 
 
