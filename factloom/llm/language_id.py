@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W\d_]+")
-SAMPLE_ROWS, SAMPLE_BYTES, ORDERS = 8000, 20_000, (5, 4, 3, 2, 1)
+SAMPLE_ROWS, SAMPLE_BYTES, ORDERS = 4000, 20_000, (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 
 
