@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heavy = F.struct("w", (-F.col("c")).alias("i"))
     centre = centre.join(weight.withColumnRenamed("id", "c"), "c")
     stars = keys.join(centre, "key").where("id <> c").groupBy("id").agg(F.slice(F.sort_array(F.collect_set(heavy), asc=False), 1, CENTRES).alias("cs"))
-    stars = stars.select("id", (-F.explode("cs.i")).alias("c"))
+    stars = stars.select("id", F.explode("cs.i").alias("i")).select("id", (-F.col("i")).alias("c"))
     pairs = stars.select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct()
     pairs = saved(pairs)
     links = saved(_confirmed(pairs, texts, percent, shingle))
