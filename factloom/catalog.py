@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .plans import core  # noqa: F401  registers
+from .plans.registry import ORACLES, QUERIES
+
 FLAGSHIP = "pricing_rollup"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
