@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import Prefix, byte_values, column_bytes, mix
+from .rolling import Prefix, byte_values, column_bytes, mix, slices
 
 MIN_TILE, LEAST, BLOCK_BYTES = 5, 0.5, 8 << 20
 _WORD = np.zeros(256, bool)
@@ -161,7 +161,7 @@ def _judged(rows: DataFrame, items: Items, least: float) -> DataFrame:
     kind = pa.list_(pa.struct([("c", pa.float64()), ("i", pa.int64())]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             got = shared.value.coverage(*column_bytes(batch.column("text")), least)
             had = batch.column("found").to_pylist()
             found = [(h or []) + [{"c": c, "i": i} for i, c in g] for h, g in zip(had, got, strict=True)]
@@ -177,7 +177,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches, text_col):
                 found = shared.value.coverage(*column_bytes(batch.column(text_col)), least)
                 yield batch.filter(pa.array([not f for f in found], pa.bool_()))
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, saved
-from .rolling import U64, Prefix, byte_values, column_bytes, mix
+from .rolling import U64, Prefix, byte_values, column_bytes, mix, slices
 from .shards import PUBLISHED, answer, merged, published
 from .window_dedup import Words
 
@@ -98,7 +98,7 @@ def _sigs(column: pa.ChunkedArray, size: int) -> np.ndarray:
 
 def sign(docs: DataFrame, id_col: str, text_col: str, size: int = SIZE, shingle: int = SHINGLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             text, offsets = column_bytes(batch.column("text"))
             counts, same, sigs = [], [], []
             for s in shingle_sets(text, offsets, shingle):
@@ -137,7 +137,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, other = None, None
-        for batch in batches:
+        for batch in slices(batches, "ta"):
             sets = list(shingle_sets(*column_bytes(batch.column("ta")), shingle))
             yes = np.zeros(batch.num_rows, bool)
             for i, b in enumerate(batch.column("b").to_pylist()):

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rolling import slices
 from .tokens import encode, ranks_path
 
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -72,7 +73,7 @@ def boundaries(ids: np.ndarray, offsets: np.ndarray, stops: np.ndarray, gap: int
     return every, cost
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, close: int = 0, gap: int = 32, sentence_cost: float = 0.25, middle_cost: float = 1.0, ranks: str | None = None, batch_bytes: int = 6 << 20) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, close: int = 0, gap: int = 32, sentence_cost: float = 0.25, middle_cost: float = 1.0, ranks: str | None = None, batch_chars: int = 4 << 20) -> DataFrame:
     """One row a piece: PIECES. ranks: the vocabulary file as tiktoken ranks."""
     ranks = ranks or ranks_path()
     gap = max(1, min(gap, size))
@@ -109,14 +110,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         names: list = []
         texts: list[str] = []
         have = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, "text"):
             names.append(batch.column("id"))
             own = [t or "" for t in batch.column("text").to_pylist()]
             texts += own
-            have += batch.get_total_buffer_size()
-            if have >= batch_bytes:
+            have += sum(map(len, own))
+            if have >= batch_chars:
                 yield flush(names, texts)
                 names, texts, have = [], [], 0
         if texts:

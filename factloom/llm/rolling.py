@@ -91,6 +91,17 @@ def column_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.nda
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batches, column: str, most: int = 2 << 20):
+    """The batches cut by rows to about this many bytes of text (a longer text stands alone), to bound memory."""
+    for batch in batches:
+        offsets = column_bytes(batch.column(column))[1]
+        row = 0
+        while row < batch.num_rows:
+            end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, side="right")) - 1)
+            yield batch.slice(row, end - row)
+            row = end
+
+
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of True."""
     edge = np.diff(np.concatenate(([0], mask.view(np.int8), [0])))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import saved
-from .rolling import column_bytes
+from .rolling import column_bytes, slices
 
 SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 50_000
 LONGEST = 64
@@ -213,7 +213,7 @@ def letter_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(27**3, np.int64)
-        for batch in batches:
+        for batch in slices(batches, "text"):
             codes = table[column_bytes(batch.column("text"))[0]]
             if len(codes) > 2:
                 total += np.bincount(codes[:-2] * 729 + codes[1:-1] * 27 + codes[2:], minlength=27**3)
