@@ -156,23 +156,26 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def _tiles(rows: DataFrame, size: int, distance: int) -> DataFrame:
-    """Pairs of different components within the distance. rows: key, id, component, sig."""
+def _tiles(rows: DataFrame, size: int, distance: int, percent: int) -> DataFrame:
+    """Pairs of different components within the distance. rows: key, id, component, sig, n."""
     blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
     dealt = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").cast("int").alias("x"), F.greatest("block", "other").cast("int").alias("y"), "block", "id", "component", "sig")
+    dealt = dealt.select("key", F.least("block", "other").cast("int").alias("x"), F.greatest("block", "other").cast("int").alias("y"), "block", "id", "component", "sig", "n")
 
     def compare(table: pa.Table) -> pa.Table:
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        ids, comp, block = (table.column(c).to_numpy() for c in ("id", "component", "block"))
-        sigs = _sigs(table.column("sig"), size)
+        ids, comp, block, n = (table.column(c).to_numpy() for c in ("id", "component", "block", "n"))
+        sigs, key = _sigs(table.column("sig"), size), U64(table.column("key")[0].as_py() % (1 << 64))
+        keys = index_keys(sigs, distance)
         left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
         a, b = [], []
         for i in left:
             js = right[right > i] if x == y else right
             js = js[comp[js] != comp[i]]
+            js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
             near = js[(sigs[js] != sigs[i]).sum(axis=1) <= distance]
+            near = near[keys[i][(keys[near] == keys[i]).argmax(axis=1)] == key]  # a pair counts under its first key
             a.append(np.maximum(ids[i], ids[near]))
             b.append(np.minimum(ids[i], ids[near]))
         return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
@@ -184,7 +187,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, n_shingles, component_id, kept for each row of docs."""
     distance = allowed_distance(percent / 100, size)
     signed = saved(sign(docs, id_col, text_col, size, shingle))
-    classes = signed.where("same is not null and id is not null").groupBy("same").agg(F.min(F.struct("id", "sig")).alias("m")).select("same", "m.id", "m.sig")
+    classes = signed.where("same is not null and id is not null").groupBy("same").agg(F.min(F.struct("id", "sig", "n_shingles")).alias("m")).select("same", "m.id", "m.sig", F.col("m.n_shingles").alias("n"))
     classes = saved(classes)
     keys = saved(_meeting(classes.select("id", "sig"), classes.count(), size, distance))
     ids = keys.select("id").distinct()
@@ -205,8 +208,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     placed = keys.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_rows = placed.join(mixed, "key").join(classes.select("id", "sig"), "id")
-    more = _tiles(open_rows.select("key", "id", "component", "sig"), size, distance).join(pairs, ["a", "b"], "left_anti")
+    open_rows = placed.join(mixed, "key").join(classes.select("id", "sig", "n"), "id")
+    more = _tiles(open_rows.select("key", "id", "component", "sig", "n"), size, distance, percent).join(pairs, ["a", "b"], "left_anti")
     more = saved(_confirmed(saved(more), texts, percent, shingle))
     if not more.isEmpty():
         found = components(links.unionByName(more))
