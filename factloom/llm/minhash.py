@@ -14,7 +14,9 @@ Equal sets collapse into a class first.  The centre of a key is the class under
 that meets most others; a class is paired with its three weightiest centres, and
 the links confirmed on whole sets give components.  Only where a key then still joins different
 components are its classes compared pairwise, by signature and in tiles of at
-most 256 by 256, and pairs within the distance confirmed on whole sets as well.
+most 256 by 256.  Pairs within the distance leave a tile packed by the blocks of
+their two classes (at most about 256 classes and 1 MB of text, near copies
+together); each pair of blocks fetches its texts once and confirms on whole sets.
 So no group emits all its pairs and no link is lost.
 
 Cases: null and empty texts have an empty set and no link; repeated rows are
@@ -39,8 +41,9 @@ from .rolling import U64, Prefix, byte_values, column_bytes, mix, slices
 from .shards import PUBLISHED, answer, merged, published
 from .window_dedup import Words
 
-SIZE, SHINGLE, TILE, SHARD_ROWS, CENTRES = 128, 5, 256, 8000, 3
-SIGNED = "id long, n_shingles long, same binary, sig binary"
+SIZE, SHINGLE, TILE, BLOCK_BYTES, SHARD_ROWS, CENTRES = 128, 5, 256, 1 << 20, 8000, 3
+SIGNED = "id long, n_shingles long, n_bytes long, same binary, sig binary"
+PACKED = "p long, q long, a binary, b binary"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -105,7 +108,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, size: int = SIZE, shingle:
                 counts.append(len(s))
                 same.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sigs.append(signature(s, size) if len(s) else None)
-            yield pa.record_batch({"id": batch.column("id"), "n_shingles": pa.array(counts, pa.int64()), "same": pa.array(same, pa.binary()), "sig": pa.array(sigs, pa.binary())})
+            yield pa.record_batch({"id": batch.column("id"), "n_shingles": pa.array(counts, pa.int64()), "n_bytes": pa.array(np.diff(offsets)), "same": pa.array(same, pa.binary()), "sig": pa.array(sigs, pa.binary())})
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, SIGNED)
 
@@ -157,15 +160,15 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -
 
 
 def _tiles(rows: DataFrame, size: int, distance: int, percent: int) -> DataFrame:
-    """Pairs of different components within the distance. rows: key, id, component, sig, n."""
+    """Pairs of different components within the distance, packed by their blocks. rows: key, id, component, sig, n, block_id."""
     blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
     dealt = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").cast("int").alias("x"), F.greatest("block", "other").cast("int").alias("y"), "block", "id", "component", "sig", "n")
+    dealt = dealt.select("key", F.least("block", "other").cast("int").alias("x"), F.greatest("block", "other").cast("int").alias("y"), "block", "id", "component", "sig", "n", "block_id")
 
     def compare(table: pa.Table) -> pa.Table:
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        ids, comp, block, n = (table.column(c).to_numpy() for c in ("id", "component", "block", "n"))
+        ids, comp, block, n, home = (table.column(c).to_numpy() for c in ("id", "component", "block", "n", "block_id"))
         sigs, key = _sigs(table.column("sig"), size), U64(table.column("key")[0].as_py() % (1 << 64))
         keys = index_keys(sigs, distance)
         left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
@@ -176,18 +179,69 @@ def _tiles(rows: DataFrame, size: int, distance: int, percent: int) -> DataFrame
             js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
             near = js[(sigs[js] != sigs[i]).sum(axis=1) <= distance]
             near = near[keys[i][(keys[near] == keys[i]).argmax(axis=1)] == key]  # a pair counts under its first key
-            a.append(np.maximum(ids[i], ids[near]))
-            b.append(np.minimum(ids[i], ids[near]))
-        return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
-
-    return dealt.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+            a.append(np.full(len(near), i))
+            b.append(near)
+        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+        homes, which = np.unique(np.sort(np.stack((home[a], home[b]), axis=1), axis=1), axis=0, return_inverse=True)
+        parts = [np.flatnonzero(which.ravel() == k) for k in range(len(homes))]
+        ends = [pa.array([ids[v[at]].astype("<i8").tobytes() for at in parts], pa.binary()) for v in (a, b)]
+        return pa.table([pa.array(homes[:, 0], pa.int64()), pa.array(homes[:, 1], pa.int64()), *ends], names=["p", "q", "a", "b"])
+
+    return dealt.groupBy("key", "x", "y").applyInArrow(compare, PACKED)
+
+
+def _unpacked(packed: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(b"".join(packed.column(c).to_pylist()), "<i8") for c in ("a", "b"))
+
+
+def _confirmed_blocks(packed: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Links among packed pairs; a pair of blocks gets each of its texts once."""
+
+    def members(table: pa.Table) -> pa.Table:
+        ids = np.unique(np.concatenate(_unpacked(table)))
+        p, q = (np.full(len(ids), table.column(c)[0].as_py()) for c in ("p", "q"))
+        return pa.table({"p": p, "q": q, "id": ids})
+
+    def check(docs: pa.Table, table: pa.Table) -> pa.Table:
+        a, b = _unpacked(table)
+        text, offsets = column_bytes(docs.column("text"))
+        sets = list(shingle_sets(text, offsets, shingle))
+        sizes = np.array([len(s) for s in sets])
+        ids = docs.column("id").to_numpy()
+        order = np.argsort(ids)
+        left, right = (order[np.searchsorted(ids, v, sorter=order)] for v in (a, b))
+        distinct, number = np.unique(np.concatenate(sets), return_inverse=True)
+        numbered = np.split(number, np.cumsum(sizes)[:-1])
+        marked, yes = np.zeros(len(distinct), bool), np.zeros(len(a), bool)
+        first = None
+        for k in np.argsort(left, kind="stable"):
+            i, j = left[k], right[k]
+            if i != first:
+                if first is not None:
+                    marked[numbered[first]] = False
+                marked[numbered[i]] = True
+                first = i
+            both = int(np.count_nonzero(marked[numbered[j]]))
+            yes[k] = 100 * both >= percent * (sizes[i] + sizes[j] - both)
+        return pa.table({"a": np.maximum(a, b)[yes], "b": np.minimum(a, b)[yes]})
+
+    need = packed.groupBy("p", "q").applyInArrow(members, "p long, q long, id long").join(texts, "id")
+    return need.groupBy("p", "q").cogroup(packed.groupBy("p", "q")).applyInArrow(check, "a long, b long")
+
+
+def _homes(ids: DataFrame, centres: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, block_id: classes with the same component of their weightiest centre, cut by number and bytes."""
+    label = found.select(F.col("id").alias("first"), "component")
+    rows = ids.join(centres, "id").join(label, "first", "left").select("id", F.coalesce("component", "first").alias("label")).join(classes.select("id", "n_bytes"), "id")
+    blocks = rows.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n_bytes") / BLOCK_BYTES)).alias("blocks"))
+    return rows.join(blocks, "label").select("id", F.xxhash64("label", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = SIZE, shingle: int = SHINGLE) -> DataFrame:
     """id, n_shingles, component_id, kept for each row of docs."""
     distance = allowed_distance(percent / 100, size)
     signed = saved(sign(docs, id_col, text_col, size, shingle))
-    classes = signed.where("same is not null and id is not null").groupBy("same").agg(F.min(F.struct("id", "sig", "n_shingles")).alias("m")).select("same", "m.id", "m.sig", F.col("m.n_shingles").alias("n"))
+    classes = signed.where("same is not null and id is not null").groupBy("same").agg(F.min(F.struct("id", "sig", "n_shingles", "n_bytes")).alias("m")).select("same", "m.id", "m.sig", F.col("m.n_shingles").alias("n"), "m.n_bytes")
     classes = saved(classes)
     keys = saved(_meeting(classes.select("id", "sig"), classes.count(), size, distance))
     ids = keys.select("id").distinct()
@@ -199,18 +253,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centre = keys.join(weight, "id").groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("m")).select("key", (-F.col("m.i")).alias("c"))
     heavy = F.struct("w", (-F.col("c")).alias("i"))
     centre = centre.join(weight.withColumnRenamed("id", "c"), "c")
-    stars = keys.join(centre, "key").where("id <> c").groupBy("id").agg(F.slice(F.sort_array(F.collect_set(heavy), asc=False), 1, CENTRES).alias("cs"))
-    stars = stars.select("id", F.explode("cs.i").alias("i")).select("id", (-F.col("i")).alias("c"))
+    others = F.collect_set(F.when(F.col("id") != F.col("c"), heavy))
+    met = keys.join(centre, "key").groupBy("id").agg(F.slice(F.sort_array(others, asc=False), 1, CENTRES).alias("cs"), F.max(heavy).alias("top"))
+    met = saved(met.select("id", "cs", (-F.col("top.i")).alias("first")))
+    stars = met.select("id", F.explode("cs.i").alias("i")).select("id", (-F.col("i")).alias("c"))
     pairs = stars.select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct()
-    pairs = saved(pairs)
     links = saved(_confirmed(pairs, texts, percent, shingle))
     found = components(links)
 
     placed = keys.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_rows = placed.join(mixed, "key").join(classes.select("id", "sig", "n"), "id")
-    more = _tiles(open_rows.select("key", "id", "component", "sig", "n"), size, distance, percent).join(pairs, ["a", "b"], "left_anti")
-    more = saved(_confirmed(saved(more), texts, percent, shingle))
+    open_rows = saved(placed.join(mixed, "key"))
+    homes = saved(_homes(open_rows.select("id").distinct(), met.select("id", "first"), found, classes))
+    open_rows = open_rows.join(classes.select("id", "sig", "n"), "id").join(homes, "id")
+    packed = saved(_tiles(open_rows.select("key", "id", "component", "sig", "n", "block_id"), size, distance, percent))
+    more = saved(_confirmed_blocks(packed, texts, percent, shingle))
     if not more.isEmpty():
         found = components(links.unionByName(more))
 

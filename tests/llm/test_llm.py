@@ -93,8 +93,8 @@ def test_window_dedup(docs, empty):
     assert window_dedup.window_dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("percent", [80, 85])
-def test_minhash(docs, empty, percent):
+def near_by_brute_force(docs, percent):
+    """Shingle sets by id and a function to the smallest linked id."""
     rows = [(k, b.lower() if b.isascii() else re.sub(rb"[A-Z]", lambda m: m[0].lower(), b)) for k, b in texts(docs)]
     sets = {}
     for k, b in rows:
@@ -107,16 +107,44 @@ def test_minhash(docs, empty, percent):
         if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
+    return sets, find
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_minhash(docs, empty, percent):
+    sets, find = near_by_brute_force(docs, percent)
     got = minhash.near_duplicates(docs, percent=percent).collect()
-    assert len(got) == len(rows)
+    assert len(got) == docs.count()
     for r in got:
         assert r.n_shingles == len(sets[r.id])
         if r.id is not None:
             assert (r.component_id, r.kept) == (find(r.id), r.id == find(r.id))
-    assert len(set(root) - {find(k) for k in root}) > 5
+    assert sum(k != find(k) for k in sets if k is not None) > 5
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_minhash_near_the_threshold(spark, monkeypatch):
+    """Many copies just over and under the threshold, over several tiles and blocks."""
+    monkeypatch.setattr(minhash, "TILE", 16)
+    rng = random.Random(3)
+    base = [rng.choice("abcdefgh") + str(rng.randrange(500)) for _ in range(150)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(4)}"
+        rows.append((1000 - i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, find = near_by_brute_force(docs, 85)
+    assert {r.id: r.component_id for r in minhash.near_duplicates(docs, percent=85).collect()} == {k: find(k) for k, _ in rows}
+    confirmed = minhash._confirmed_blocks
+    seen = []
+    monkeypatch.setattr(minhash, "_confirmed_blocks", lambda packed, *rest: seen.append(packed.select("p", "q").distinct().count()) or confirmed(packed, *rest))
+    monkeypatch.setattr(minhash, "CENTRES", 0)
+    assert {r.id: r.component_id for r in minhash.near_duplicates(docs, percent=85).collect()} == {k: find(k) for k, _ in rows}
+    assert seen[0] > 20
+
+
 def test_index_keys_meet_under_the_distance():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 1 << 16, (200, 128)).astype(np.uint16)
