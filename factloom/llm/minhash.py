@@ -13,8 +13,8 @@ enumerates one error: all pairs under the distance meet under some key.
 Equal sets collapse into a class first.  The centre of a key is the class under it
 that meets most others; a class is paired with its three weightiest centres, and
 the links confirmed on whole sets give components.  Only where a key then still joins different
-components are its classes compared pairwise, by signature and in tiles of at
-most 256 by 256.  Pairs within the distance leave a tile packed by the blocks of
+components are its classes compared pairwise, by signature and in tiles of
+about 256 by 256, many small ones to a task.  Pairs within the distance leave a tile packed by the blocks of
 their two classes (at most about 256 classes and 1 MB of text, near copies
 together); each pair of blocks fetches its texts once and confirms on whole sets.
 So no group emits all its pairs and no link is lost.
@@ -41,7 +41,7 @@ from .rolling import U64, Prefix, byte_values, column_bytes, mix, slices
 from .shards import PUBLISHED, answer, merged, published
 from .window_dedup import Words
 
-SIZE, SHINGLE, TILE, BLOCK_BYTES, SHARD_ROWS, CENTRES = 128, 5, 256, 1 << 20, 8000, 3
+SIZE, SHINGLE, TILE, BLOCK_BYTES, BIN_ROWS, SHARD_ROWS, CENTRES = 128, 5, 256, 1 << 20, 4096, 8000, 3
 SIGNED = "id long, n_shingles long, n_bytes long, same binary, sig binary"
 PACKED = "p long, q long, a binary, b binary"
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -161,33 +161,41 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -
 
 def _tiles(rows: DataFrame, size: int, distance: int, percent: int) -> DataFrame:
     """Pairs of different components within the distance, packed by their blocks. rows: key, id, component, sig, n, block_id."""
-    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    dealt = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+    blocks = saved(rows.groupBy("key").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / TILE).cast("int")))
+    dealt = rows.join(blocks.drop("m"), "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "other").cast("int").alias("x"), F.greatest("block", "other").cast("int").alias("y"), "block", "id", "component", "sig", "n", "block_id")
+    bins = max(1, -(-(blocks.agg(F.sum(F.col("m") * F.col("blocks"))).first()[0] or 0) // BIN_ROWS))
 
     def compare(table: pa.Table) -> pa.Table:
-        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        ids, comp, block, n, home = (table.column(c).to_numpy() for c in ("id", "component", "block", "n", "block_id"))
-        sigs, key = _sigs(table.column("sig"), size), U64(table.column("key")[0].as_py() % (1 << 64))
-        keys = index_keys(sigs, distance)
-        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        a, b = [], []
-        for i in left:
-            js = right[right > i] if x == y else right
-            js = js[comp[js] != comp[i]]
-            js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
-            near = js[(sigs[js] != sigs[i]).sum(axis=1) <= distance]
-            near = near[keys[i][(keys[near] == keys[i]).argmax(axis=1)] == key]  # a pair counts under its first key
-            a.append(np.full(len(near), i))
-            b.append(near)
+        table = table.sort_by([(c, "ascending") for c in ("key", "x", "y")])
+        key, x, y, ids, comp, block, n, home = (table.column(c).to_numpy() for c in ("key", "x", "y", "id", "component", "block", "n", "block_id"))
+        sigs = _sigs(table.column("sig"), size)
+        keys = index_keys(sigs, distance).view(np.int64)
+        new = np.flatnonzero((np.diff(key) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1
+        ends = np.append(new, len(key))
+        end = np.repeat(ends, np.diff(ends, prepend=0))  # of each row's tile
+        a, b, i = [], [], np.arange(len(key))
+        for step in range(1, int(np.diff(ends, prepend=0).max())):
+            i = i[i + step < end[i]]
+            j = i + step
+            yes = (comp[i] != comp[j]) & ((x[i] == y[i]) | (block[i] != block[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            left, right = i[yes], j[yes]
+            near = (sigs[left] != sigs[right]).sum(axis=1) <= distance
+            left, right = left[near], right[near]
+            first = (keys[left] == keys[right]).argmax(axis=1)
+            own = keys[left, first] == key[left]  # a pair counts under its first key
+            a.append(left[own])
+            b.append(right[own])
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
         homes, which = np.unique(np.sort(np.stack((home[a], home[b]), axis=1), axis=1), axis=0, return_inverse=True)
-        parts = [np.flatnonzero(which.ravel() == k) for k in range(len(homes))]
-        ends = [pa.array([ids[v[at]].astype("<i8").tobytes() for at in parts], pa.binary()) for v in (a, b)]
+        order = np.argsort(which.ravel(), kind="stable")
+        cuts = np.searchsorted(which.ravel()[order], np.arange(1, len(homes)))
+        ends = [pa.array([v.astype("<i8").tobytes() for v in np.split(ids[e[order]], cuts)][: len(homes)], pa.binary()) for e in (a, b)]
         return pa.table([pa.array(homes[:, 0], pa.int64()), pa.array(homes[:, 1], pa.int64()), *ends], names=["p", "q", "a", "b"])
 
-    return dealt.groupBy("key", "x", "y").applyInArrow(compare, PACKED)
+    binned = dealt.withColumn("bin", F.pmod(F.xxhash64("key", "x", "y"), F.lit(bins)))
+    return binned.groupBy("bin").applyInArrow(compare, PACKED)
 
 
 def _unpacked(packed: pa.Table) -> tuple[np.ndarray, np.ndarray]:
