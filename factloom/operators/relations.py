@@ -67,6 +67,25 @@ def token_subsets(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     return pairs.where((F.size("a") < F.size("b")) & (F.size(F.array_except("a", "b")) == 0)).select("short_id", "long_id")
 
 
+def contained_quotes(docs: DataFrame, doc_id: str, text: str, quotes: DataFrame, quote_id: str, quote: str) -> DataFrame:
+    """(doc_id, quote_id) where the text holds the quote, byte for byte; null texts and quotes match nothing.
+
+    A quote of four or more words stands only in texts that hold its longest pair of inner words, so those meet
+    by an equi-join on that pair before the comparison. Shorter quotes, a stated query set, are compared with each text.
+    """
+    words = lambda c: F.split(c, " ")
+    pair = lambda w: lambda i: F.concat(F.element_at(w, i), F.lit(" "), F.element_at(w, i + 1))
+    q = quotes.where(F.col(quote).isNotNull()).select(F.col(quote_id).alias("q_id"), F.col(quote).alias("q"), words(F.col(quote)).alias("qw"))
+    d = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("d_id"), F.col(text).alias("d"))
+    inner = F.transform(F.sequence(F.lit(2), F.size("qw") - 2), lambda i: F.struct(F.length(pair(F.col("qw"))(i)), pair(F.col("qw"))(i).alias("anchor")))
+    long = q.where(F.size("qw") > 3).select("q_id", "q", F.array_max(inner)["anchor"].alias("anchor"))
+    keys = d.select("d_id", words(F.col("d")).alias("dw")).where(F.size("dw") > 3)
+    keys = keys.select("d_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("dw") - 1), pair(F.col("dw"))))).alias("anchor"))
+    met = keys.join(long, "anchor").select("d_id", "q_id", "q").distinct().join(d, "d_id").where(F.contains("d", "q"))
+    rest = d.join(q.where(F.size("qw") < 4).select("q_id", "q"), F.contains("d", "q"))
+    return met.select("d_id", "q_id").unionByName(rest.select("d_id", "q_id")).toDF(doc_id, quote_id)
+
+
 def diff(a: DataFrame, b: DataFrame, key: str, state: Column) -> DataFrame:
     """Full outer comparison by key: identical, changed, only_a, only_b."""
     left = a.select(F.col(key).alias("key"), state.alias("sa"), F.lit(True).alias("ina"))

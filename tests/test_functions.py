@@ -54,3 +54,10 @@ def test_closure_reaches_cycles(spark):
 def test_token_subsets(spark):
     rows = spark.createDataFrame([(1, "red box"), (2, "big red box"), (3, "blue"), (4, "")], "id long, name string")
     assert [(r.short_id, r.long_id) for r in relations.token_subsets(rows, "id", text.tokens(F.col("name"))).collect()] == [(1, 2)]
+
+
+def test_contained_quotes(spark):
+    docs = spark.createDataFrame([(1, "so it ran fast over  the hill again"), (2, "ran"), (3, None), (4, ""), (1, "it ran fast over  the hills")], "doc_id int, text string")
+    quotes = spark.createDataFrame([(1, "t ran fast over  the hill"), (2, "an"), (3, ""), (4, None), (5, "fast over the hill")], "item_id int, quote string")
+    got = relations.contained_quotes(docs, "doc_id", "text", quotes, "item_id", "quote").collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (1, 1), (1, 2), (1, 2), (1, 3), (1, 3), (2, 2), (2, 3), (4, 3)]
