@@ -5,8 +5,8 @@ back to the n-grams of the padded word, the longest order first, down to single
 characters: the first order of which at least half the grams are known scores it.
 
 The model is fitted on a bounded sample: at most `sample_rows` training rows of
-at most `sample_bytes` bytes each, taken by hash of their id, so driver memory
-and the size of the model do not grow with the input.
+at most `sample_bytes` bytes each, those of the least hashes of their ids, so
+driver memory and the size of the model do not grow with the input.
 
 Cases: null text, and text without a letter, is `und` with score 0; texts count
 whole, however long; a table without training rows makes every row `und`; rows
@@ -16,6 +16,7 @@ with equal ids are scored one by one; other columns are not looked at.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,63 +25,74 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rolling import slices
+
 WORD = re.compile(r"[^\W\d_]+")
 SAMPLE_ROWS, SAMPLE_BYTES, ORDERS = 4000, 20_000, (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 
 
+class Logs:
+    """Texts and their log frequency in each language, as one matrix."""
+
+    def __init__(self, place: dict[str, int], counts: np.ndarray, least: int):
+        if least > 1:
+            keep = counts.sum(axis=1) >= least
+            place = {t: i for i, t in enumerate(t for t, i in place.items() if keep[i])}
+            counts = counts[keep]
+        self.place, self.logs = place, counts.astype(np.float32) + np.float32(0.5)
+        if place:
+            self.logs = np.log(self.logs / self.logs.sum(axis=0))
+            self.logs -= self.logs.mean(axis=1, keepdims=True)
+
+
 class Model:
-    """langs; words and grams: text -> log frequency in each language."""
+    """langs; words and grams of each order: their log frequencies."""
 
     def __init__(self, rows: list[tuple[str, str]]):
         self.langs = sorted({lang for _, lang in rows})
-        place = {lang: i for i, lang in enumerate(self.langs)}
-        k = len(self.langs)
-        words: dict[str, np.ndarray] = {}
-        for text, lang in rows:
-            for word, n in Counter(WORD.findall(text.lower())).items():
-                if word not in words:
-                    words[word] = np.zeros(k, np.float32)
-                words[word][place[lang]] += n
+        lang_place = {lang: i for i, lang in enumerate(self.langs)}
+        seen: dict[str, int] = {}
+        word, lang, often = array("q"), array("q"), array("q")
+        for text, name in rows:
+            for w, n in Counter(WORD.findall(text.lower())).items():
+                word.append(seen.setdefault(w, len(seen)))
+                lang.append(lang_place[name])
+                often.append(n)
+        counts = np.zeros((len(seen), len(self.langs)), np.int64)
+        np.add.at(counts, (np.asarray(word), np.asarray(lang)), np.asarray(often))
         self.grams = {}
         for order in ORDERS:
-            table: dict[str, np.ndarray] = {}
-            for word, n in words.items():
-                padded = f" {word} "
-                for i in range(len(padded) - order + 1):
-                    gram = padded[i : i + order]
-                    if gram in table:
-                        table[gram] += n
-                    else:
-                        table[gram] = n.copy()
-            self.grams[order] = self._logs({g: n for g, n in table.items() if order == 1 or n.sum() > 1}, k)
-        self.words = self._logs({w: n for w, n in words.items() if n.sum() > 1}, k)
-
-    @staticmethod
-    def _logs(table: dict[str, np.ndarray], k: int) -> dict[str, np.ndarray]:
-        if not table:
-            return {}
-        counts = np.array(list(table.values()), np.float32) + 0.5
-        logs = np.log(counts / counts.sum(axis=0))
-        return dict(zip(table, logs - logs.mean(axis=1, keepdims=True), strict=True))
+            place: dict[str, int] = {}
+            gram, of = array("q"), array("q")
+            for w, i in seen.items():
+                padded = f" {w} "
+                for at in range(len(padded) - order + 1):
+                    gram.append(place.setdefault(padded[at : at + order], len(place)))
+                    of.append(i)
+            total = np.zeros((len(place), len(self.langs)), np.int64)
+            np.add.at(total, np.asarray(gram), counts[np.asarray(of)])
+            self.grams[order] = Logs(place, total, 1 if order == 1 else 2)
+        self.words = Logs(seen, counts, 2)
 
     def word(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
+        known = self.words.place.get(word)
         if known is not None:
-            return known
+            return self.words.logs[known]
         padded = f" {word} "
         for order in ORDERS:
-            grams = [padded[i : i + order] for i in range(len(padded) - order + 1)]
-            found = [self.grams[order][g] for g in grams if g in self.grams[order]]
-            if found and 2 * len(found) >= len(grams):
-                return np.mean(found, axis=0)
+            of = self.grams[order]
+            n = len(padded) - order + 1
+            found = [i for at in range(n) if (i := of.place.get(padded[at : at + order])) is not None]
+            if found and 2 * len(found) >= n:
+                return of.logs[found].mean(axis=0)
         return np.zeros(len(self.langs), np.float32)
 
 
 class Scorer:
     """Scores of words are kept for later texts, up to `most` of them."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 200_000):
         self.model, self.most = model, most
         self.place: dict[str, int] = {}
         self.rows = np.zeros((1024, max(1, len(model.langs))), np.float32)
@@ -91,7 +103,7 @@ class Scorer:
             return UNKNOWN, 0.0
         counts = Counter(words)
         if len(self.place) + len(counts) > self.most:
-            self.place = {}
+            self.place, self.rows = {}, self.rows[:1024].copy()
         place = self.place
         at = []
         for word in counts:
@@ -110,15 +122,16 @@ class Scorer:
 
 
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    rows = (
-        docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= sample_bytes))
-        .select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-        .orderBy("h", "lang", "text")
-        .limit(sample_rows)
-        .select("text", "lang")
-        .collect()
-    )
-    return Model([(r[0], r[1]) for r in rows])
+    rows = docs.where(train & F.col(lang_col).isNotNull()).withColumn("_h", F.xxhash64(id_col))
+    some, n = rows, rows.count()
+    if n > 2 * sample_rows:  # only rows that can be chosen leave their tasks
+        some = rows.where(F.col("_h") < F.lit(int(1.5 * sample_rows / n * 2**64) - 2**63))
+    return Model(_least(some, text_col, lang_col, sample_rows, sample_bytes) or _least(rows, text_col, lang_col, sample_rows, sample_bytes))
+
+
+def _least(rows: DataFrame, text_col: str, lang_col: str, sample_rows: int, sample_bytes: int) -> list[tuple[str, str]]:
+    short = rows.where(F.col(text_col).isNotNull() & (F.octet_length(text_col) <= sample_bytes)).select("_h", F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    return [(r[0], r[1]) for r in short.orderBy("_h", "lang", "text").limit(sample_rows).select("text", "lang").collect()]
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,7 +140,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches, "text"):
             found = [scorer(t) for t in batch.column("text").to_pylist()]
             yield pa.record_batch({"id": batch.column("id"), "lang_pred": pa.array([f[0] for f in found], pa.string()), "score": pa.array([f[1] for f in found], pa.float64())})
 
@@ -141,7 +154,7 @@ def keep_languages(docs: DataFrame, model: Model, text_col: str = "text", least:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches, text_col):
             found = [scorer(t) for t in batch.column(text_col).to_pylist()]
             yield batch.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in found], pa.bool_()))
 
