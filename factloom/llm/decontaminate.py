@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import lean
 from .rolling import Prefix, byte_values, column_bytes, mix, slices
 
 MIN_TILE, LEAST, BLOCK_BYTES = 5, 0.5, 8 << 20
@@ -167,7 +168,7 @@ def _judged(rows: DataFrame, items: Items, least: float) -> DataFrame:
             found = [(h or []) + [{"c": c, "i": i} for i, c in g] for h, g in zip(had, got, strict=True)]
             yield pa.record_batch({"id": batch.column("id"), "text": batch.column("text"), "found": pa.array(found, kind)})
 
-    return rows.mapInArrow(judge, rows.schema)
+    return rows.mapInArrow(lean(judge), rows.schema)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_tile: int = MIN_TILE, least: float = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -181,7 +182,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                 found = shared.value.coverage(*column_bytes(batch.column(text_col)), least)
                 yield batch.filter(pa.array([not f for f in found], pa.bool_()))
 
-        return docs.mapInArrow(keep, docs.schema)
+        return docs.mapInArrow(lean(keep), docs.schema)
 
     for items in blocks(benchmark, item_col, item_text, min_tile, block_bytes):
         docs = without(docs, items)

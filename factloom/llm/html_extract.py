@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import lean
+
 # fixed values: elements of HTML
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split()
@@ -201,7 +203,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         if done:
             yield _batch(done)
 
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(read, "id long, url string, text string")
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(read), "id long, url string, text string")
 
 
 def _with_end(rows):

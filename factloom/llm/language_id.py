@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import lean
 from .rolling import slices
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -145,7 +146,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.record_batch({"id": batch.column("id"), "lang_pred": pa.array([f[0] for f in found], pa.string()), "score": pa.array([f[1] for f in found], pa.float64())})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(score, "id long, lang_pred string, score double")
+    return rows.mapInArrow(lean(score), "id long, lang_pred string, score double")
 
 
 def keep_languages(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.0) -> DataFrame:
@@ -158,4 +159,4 @@ def keep_languages(docs: DataFrame, model: Model, text_col: str = "text", least:
             found = [scorer(t) for t in batch.column(text_col).to_pylist()]
             yield batch.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in found], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

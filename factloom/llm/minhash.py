@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, saved
+from .memory import lean, lean_group, lean_groups
 from .rolling import U64, Prefix, byte_values, column_bytes, mix, slices
 from .shards import PUBLISHED, answer, merged, published
 from .window_dedup import Words
@@ -110,7 +111,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, size: int = SIZE, shingle:
                 sigs.append(signature(s, size) if len(s) else None)
             yield pa.record_batch({"id": batch.column("id"), "n_shingles": pa.array(counts, pa.int64()), "n_bytes": pa.array(np.diff(offsets)), "same": pa.array(same, pa.binary()), "sig": pa.array(sigs, pa.binary())})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, SIGNED)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), SIGNED)
 
 
 def _meeting(classes: DataFrame, n: int, size: int, distance: int) -> DataFrame:
@@ -131,8 +132,8 @@ def _meeting(classes: DataFrame, n: int, size: int, distance: int) -> DataFrame:
         row, _ = np.nonzero(yes)
         return pa.table({"key": keys[yes].view(np.int64), "id": table.column("id").to_numpy()[row]})
 
-    told = merged(rows.groupBy("shard").applyInArrow(publish, PUBLISHED))
-    return rows.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(shared, "key long, id long")
+    told = merged(rows.groupBy("shard").applyInArrow(lean_group(publish), PUBLISHED))
+    return rows.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(lean_groups(shared), "key long, id long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
@@ -156,7 +157,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -
 
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(lean(check), "a long, b long")
 
 
 def _tiles(rows: DataFrame, size: int, distance: int, percent: int) -> DataFrame:
@@ -195,7 +196,7 @@ def _tiles(rows: DataFrame, size: int, distance: int, percent: int) -> DataFrame
         return pa.table([pa.array(homes[:, 0], pa.int64()), pa.array(homes[:, 1], pa.int64()), *ends], names=["p", "q", "a", "b"])
 
     binned = dealt.withColumn("bin", F.pmod(F.xxhash64("key", "x", "y"), F.lit(bins)))
-    return binned.groupBy("bin").applyInArrow(compare, PACKED)
+    return binned.groupBy("bin").applyInArrow(lean_group(compare), PACKED)
 
 
 def _unpacked(packed: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -233,8 +234,8 @@ def _confirmed_blocks(packed: DataFrame, texts: DataFrame, percent: int, shingle
             yes[k] = 100 * both >= percent * (sizes[i] + sizes[j] - both)
         return pa.table({"a": np.maximum(a, b)[yes], "b": np.minimum(a, b)[yes]})
 
-    need = packed.groupBy("p", "q").applyInArrow(members, "p long, q long, id long").join(texts, "id")
-    return need.groupBy("p", "q").cogroup(packed.groupBy("p", "q")).applyInArrow(check, "a long, b long")
+    need = packed.groupBy("p", "q").applyInArrow(lean_group(members), "p long, q long, id long").join(texts, "id")
+    return need.groupBy("p", "q").cogroup(packed.groupBy("p", "q")).applyInArrow(lean_groups(check), "a long, b long")
 
 
 def _homes(ids: DataFrame, centres: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import lean
 from .rolling import slices
 from .tokens import encode, ranks_path
 
@@ -122,4 +123,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
             yield flush(names, texts)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(streams, PIECES)
+    return rows.mapInArrow(lean(streams), PIECES)

@@ -31,7 +31,7 @@ def _power(base: int, n: int) -> np.ndarray:
         full = np.full(max(n, 1 << 16), base, U64)
         full[0] = 1
         have = np.cumprod(full, dtype=U64)
-        if n <= 1 << 23:  # powers for unusually long documents are not kept
+        if n <= 1 << 20:  # powers for long stretches are not kept
             _powers[base] = have
     return have[:n]
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from .memory import lean_group, lean_groups
+
 U64 = np.uint64
 SHARD_BYTES = 2 << 20
 PUBLISHED = "kind int, rng int, shard int, keys binary, more binary"
@@ -39,7 +41,7 @@ class Sharded:
 
     def publish(self, emit: Callable) -> DataFrame:
         """emit(table) -> table of PUBLISHED, once a shard."""
-        return self.rows.groupBy("shard").applyInArrow(emit, PUBLISHED)
+        return self.rows.groupBy("shard").applyInArrow(lean_group(emit), PUBLISHED)
 
     def with_answers(self, answers: DataFrame, emit: Callable, schema: str | StructType) -> DataFrame:
         """emit(table, answers of its shard) -> table, once a shard."""
@@ -49,7 +51,7 @@ class Sharded:
         def own(docs: pa.Table, told: pa.Table) -> pa.Table:
             return emit(docs, told) if docs.num_rows else nothing.empty_table()
 
-        return self.rows.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(own, schema)
+        return self.rows.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(lean_groups(own), schema)
 
 
 def pack_sorted(keys: np.ndarray) -> tuple[bytes, bytes]:
@@ -130,7 +132,7 @@ def _merge(packed: bool) -> Callable[[pa.Table], pa.Table]:
 
 def merged(found: DataFrame, packed: bool = False) -> DataFrame:
     """Answers: for each published run, which keys another shard has published too, and which of these no smaller shard has."""
-    return found.groupBy("kind", "rng").applyInArrow(_merge(packed), ANSWER)
+    return found.groupBy("kind", "rng").applyInArrow(lean_group(_merge(packed)), ANSWER)
 
 
 def answer(told: pa.Table, kind: int, n: int, bits: str = "mask") -> np.ndarray:

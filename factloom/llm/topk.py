@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import lean_groups
+
 BLOCK, SHARD, FAN = 2048, 4096, 16
 FOUND = "query_id long, vec_id long, score long, tile long"
 
@@ -44,7 +46,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
         q, v, s = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3))
         return pa.table({"query_id": q, "vec_id": v, "score": s, "tile": np.full(len(q), place, np.int64)})
 
-    found = left.groupBy("tile").cogroup(right.groupBy("tile")).applyInArrow(tile, FOUND).withColumn("tile", F.col("tile") % shards)
+    found = left.groupBy("tile").cogroup(right.groupBy("tile")).applyInArrow(lean_groups(tile), FOUND).withColumn("tile", F.col("tile") % shards)
     width = shards
     while width > 1:
         width = -(-width // FAN)

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import saved
+from .memory import lean
 from .rolling import column_bytes, slices
 
 SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 50_000
@@ -220,7 +221,7 @@ def letter_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.record_batch({"gram": at.astype(np.int32), "n": total[at]})
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(count), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(27**3)
     for r in rows:
         out[r[0]] = r[1]
@@ -238,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
         for batch in batches:
             yield batch.append_column("copy", pa.array([copy_key(t) for t in batch.column("text").to_pylist()], pa.int64()))
 
-    rows = saved(rows.mapInArrow(keyed, "text string, y int, copy long").groupBy("copy", "y").agg(F.min("text").alias("text")))
+    rows = saved(rows.mapInArrow(lean(keyed), "text string, y int, copy long").groupBy("copy", "y").agg(F.min("text").alias("text")))
 
     def shapes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = [0, 0]
@@ -250,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
         both = list(seen[0].keys() | seen[1].keys())
         yield pa.record_batch({"shape": pa.array(["", *both], pa.string()), "clean": pa.array([n[0], *(seen[0][s] for s in both)], pa.int64()), "toxic": pa.array([n[1], *(seen[1][s] for s in both)], pa.int64())})
 
-    sums = rows.mapInArrow(shapes_of, "shape string, clean long, toxic long").groupBy("shape").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    sums = rows.mapInArrow(lean(shapes_of), "shape string, clean long, toxic long").groupBy("shape").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     kept = sums.where((F.col("shape") == "") | ((F.col("toxic") >= 3) & (F.col("toxic") > F.col("clean") / 8))).collect()
     n = next(((r["clean"], r["toxic"]) for r in kept if r["shape"] == ""), (0, 0))
     kept = [r for r in kept if r["shape"]]
@@ -269,4 +270,4 @@ def toxicity(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col:
             yield pa.record_batch({"id": batch.column("id"), "score": pa.array(found, pa.float64()), "predicted": pa.array([int(s >= 0.5) for s in found], pa.int32())})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(score, "id long, score double, predicted int")
+    return rows.mapInArrow(lean(score), "id long, score double, predicted int")
