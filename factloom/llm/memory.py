@@ -1,41 +1,60 @@
-"""Python workers outlive their tasks: what a task is done with goes back to the machine."""
+"""Python workers outlive their tasks: what an idle worker no longer needs goes back to the machine."""
 
 from __future__ import annotations
 
 import ctypes
+import os
+import threading
 import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
-_M_TRIM_THRESHOLD, _M_MMAP_THRESHOLD = -1, -3  # fixed values of glibc's malloc.h
-_last = 0.0
-_libc = None
+IDLE = 0.5
 
 
-def tidy(rest: float = 0.0) -> None:
-    """Returns free memory of the allocators, unless that was done within the last `rest` seconds."""
-    global _last, _libc
-    if time.monotonic() - _last < rest:
-        return
-    if _libc is None:
-        _libc = ctypes.CDLL(None)
-        if hasattr(_libc, "mallopt"):  # large arrays get their own pages, which freeing gives back
-            _libc.mallopt(_M_MMAP_THRESHOLD, 4 << 20)
-            _libc.mallopt(_M_TRIM_THRESHOLD, 4 << 20)
-    pa.default_memory_pool().release_unused()
-    if hasattr(_libc, "malloc_trim"):
-        _libc.malloc_trim(0)
-    _last = time.monotonic()
+class _Keeper:
+    """Returns free memory of the allocators once this process has done nothing for IDLE seconds."""
+
+    def __init__(self):
+        self.pid, self.busy, self.last, self.used = None, 0, 0.0, False
+
+    def __enter__(self):
+        if self.pid != os.getpid():  # workers are forked; threads are not
+            self.pid, self.busy = os.getpid(), 0
+            threading.Thread(target=self._watch, daemon=True).start()
+        self.busy += 1
+        self.used = True
+
+    def __exit__(self, *_):
+        self.busy -= 1
+        self.last = time.monotonic()
+
+    def _watch(self) -> None:
+        libc = ctypes.CDLL(None)
+        while True:
+            time.sleep(IDLE)
+            if self.used and not self.busy and time.monotonic() - self.last >= IDLE:
+                self.used = False
+                pa.default_memory_pool().release_unused()
+                if hasattr(libc, "malloc_trim"):
+                    libc.malloc_trim(0)
+
+
+_keeper = _Keeper()
+
+
+def busy() -> _Keeper:
+    """The keeper of this process; a closure that names this function is pickled without the keeper."""
+    return _keeper
 
 
 def lean(stream: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """For mapInArrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tidy()
-        yield from stream(batches)
-        tidy()
+        with busy():
+            yield from stream(batches)
 
     return run
 
@@ -44,9 +63,8 @@ def lean_group(group: Callable[[pa.Table], pa.Table]):
     """For applyInArrow of one table."""
 
     def run(table: pa.Table) -> pa.Table:
-        out = group(table)
-        tidy(0.5)
-        return out
+        with busy():
+            return group(table)
 
     return run
 
@@ -55,8 +73,7 @@ def lean_groups(groups: Callable[[pa.Table, pa.Table], pa.Table]):
     """For applyInArrow of two tables."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = groups(left, right)
-        tidy(0.5)
-        return out
+        with busy():
+            return groups(left, right)
 
     return run
