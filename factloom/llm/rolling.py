@@ -31,7 +31,7 @@ def _power(base: int, n: int) -> np.ndarray:
         full = np.full(max(n, 1 << 16), base, U64)
         full[0] = 1
         have = np.cumprod(full, dtype=U64)
-        if n <= 1 << 20:  # powers for long stretches are not kept
+        if n <= 1 << 22:  # powers for long stretches are not kept
             _powers[base] = have
     return have[:n]
 
@@ -110,7 +110,5 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     """Mask of the n places covered by stretches of this length."""
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + length, -1)
+    edge = np.bincount(starts, minlength=n + 1) - np.bincount(starts + length, minlength=n + 1)
     return np.cumsum(edge[:-1]) > 0
