@@ -3,12 +3,12 @@
 Pages are sorted by host and URL path; each is paired with the neighbour of its
 host that shares the longer beginning of the path (at a tie the one before).
 The lines of text of both are aligned by longest common subsequence and shared
-lines are deleted, for they are the site's and not the page's.  Pairs that share
-four fifths of their text are versions of one page and delete nothing.  Lines
-inside an `article` or `main` element are the author's: there the alignment
-deletes nothing, and if a page has such an element, only its lines count.
-Structure names the rest: lines in navigation, headers and footers of the page,
-asides, forms, scripts, styles, adverts, notices and comments never count.
+lines are deleted, for they are the site's and not the page's, inside an
+`article` or `main` element too.  If a page has such an element, only its lines
+count.  Lines in navigation, headers and footers of the page, asides, forms,
+scripts, styles, adverts, notices and comments never count.  A page that shares
+four fifths of the text that counts is a version of this one: it deletes
+nothing, and the neighbour on the other side stands in for it.
 
 Cases: null or empty html gives empty text; markup may be unclosed or broken;
 a null URL is a host of its own; equal pages keep each its text; other columns
@@ -154,17 +154,17 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_text(own: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bool]] | None) -> str:
-    gone: set[int] = set()
-    if other:
+def main_text(own: list[tuple[str, bool, bool]], others: list[list[tuple[str, bool, bool]]]) -> str:
+    """The lines that count less those shared with the first of the other pages that is no version of this one."""
+    only_main = any(main and not boiler for _, main, boiler in own)
+    counts = [i for i, (_, main, boiler) in enumerate(own) if not boiler and (main or not only_main)]
+    size = sum(len(own[i][0]) for i in counts)
+    for other in others:
         gone = common_lines([x[0] for x in own], [x[0] for x in other])
-        if 5 * sum(len(own[i][0]) for i in gone) >= 4 * sum(len(x[0]) for x in own):
-            gone = set()
-    if any(main and not boiler for _, main, boiler in own):
-        kept = [text for text, main, boiler in own if main and not boiler]
-    else:
-        kept = [text for i, (text, _, boiler) in enumerate(own) if not boiler and i not in gone]
-    return "\n\n".join(kept)
+        if 5 * sum(len(own[i][0]) for i in counts if i in gone) < 4 * size:
+            counts = [i for i in counts if i not in gone]
+            break
+    return "\n\n".join(own[i][0] for i in counts)
 
 
 def _shared(a: str, b: str) -> int:
@@ -194,8 +194,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             ahead = None if row is None else (*row[:4], lines_of(row[4] or ""))
             if here is not None:
                 near = [x for x in (before, ahead) if x is not None and x[2] == here[2]]
-                other = max(near, key=lambda x: _shared(x[3], here[3])) if near else None
-                done.append((here[0], here[1], main_text(here[4], other[4] if other else None)))
+                near.sort(key=lambda x: -_shared(x[3], here[3]))
+                done.append((here[0], here[1], main_text(here[4], [x[4] for x in near])))
                 if len(done) >= 500:
                     yield _batch(done)
                     done = []

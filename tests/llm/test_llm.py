@@ -282,6 +282,17 @@ def test_html(spark):
     assert "unclosed" in got[6]
 
 
+def test_html_shared_lines_in_articles(spark):
+    own = ["the first page says this at length", "the second page says something else", "the third page has its own words too"]
+    page = lambda text: f"<body><nav>Home</nav><article><h1>{text[:14]}</h1><p>{text}<p>share this with friends</article><footer>f</footer></body>"
+    rows = [(i, f"http://h.com/a/{i}", page(t)) for i, t in enumerate(own)] + [(3, "http://h.com/a/2?again", page(own[2]))]
+    menu = "<div>" + "</div><div>".join(f"a long entry of the menu of all pages, number {i}" for i in range(20)) + "</div>"
+    rows += [(4 + i, f"http://m.org/{i}", f"<body><nav>{menu}</nav><div>same words</div><div>only here {i}{i}</div></body>") for i in range(2)]
+    got = {r.id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    assert [got[i] for i in range(3)] == [f"{t[:14]}\n\n{t}" for t in own]
+    assert own[2] in got[3] and got[4] == "only here 00" and got[5] == "only here 11"
+
+
 def test_common_lines():
     rng = random.Random(8)
     for _ in range(200):
