@@ -10,7 +10,7 @@ from training labels; a text is as toxic as its worst words.
 
 The character counts come from all training-fold texts; the lexicon is fitted on
 at most `sample_rows` labelled training rows of at most `sample_bytes` bytes, one
-of each group of near copies.
+of each group of equal texts with the same label.
 
 Cases: null and empty texts have score 0; texts count whole; without labels all
 scores are 0; tokens above 64 characters are no words and are scored as they
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -61,11 +60,6 @@ def words_of(text: str) -> set[str]:
     return {bare for t in text.lower().split() if (bare := _TRAIL.sub("", _EDGE.sub("", t)))}
 
 
-def copy_key(text: str) -> int:
-    """Least hash of the long words: near copies mostly share it."""
-    return min((zlib.crc32(w.encode()) for w in words_of(text) if len(w) >= 8), default=zlib.crc32(text.encode()))
-
-
 class Channel:
     """Trigram character model and Viterbi decoding. counts: 27**3 of the corpus (0: not a letter)."""
 
@@ -235,11 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     picked = marked.orderBy(F.xxhash64("id"), "id", "y").limit(sample_rows)
     rows = texts.where(F.octet_length("text") <= sample_bytes).join(F.broadcast(picked), "id").select("text", "y").where("text is not null")
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.append_column("copy", pa.array([copy_key(t) for t in batch.column("text").to_pylist()], pa.int64()))
-
-    rows = saved(rows.mapInArrow(lean(keyed), "text string, y int, copy long").groupBy("copy", "y").agg(F.min("text").alias("text")))
+    rows = saved(rows.distinct())
 
     def shapes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = [0, 0]

@@ -319,6 +319,17 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs, none).where("score > 0").count() == 0
 
 
+def test_toxicity_learns_from_all_texts_but_equal_ones(spark):
+    rng = random.Random(9)
+    text = lambda i: "extraordinary " + " ".join("".join(rng.choices("bcdfglmnprtvaeiou", k=6)) for _ in range(12)) + " you scoundrel" * (i % 4 == 0)
+    rows = [(i, text(i), int(i % 4 == 0)) for i in range(120)]
+    docs, labels = (spark.createDataFrame(r, s) for r, s in (([x[:2] for x in rows], "doc_id long, text string"), ([x[::2] for x in rows], "doc_id long, toxic int")))
+    scorer = toxicity.fit(docs, labels, F.lit(True))
+    assert [int(scorer(t) >= 0.5) for _, t, _ in rows] == [y for _, _, y in rows]
+    again = toxicity.fit(docs.unionByName(docs), labels, F.lit(True))
+    assert again.lexicon.odds == scorer.lexicon.odds
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
