@@ -5,8 +5,9 @@ times in a row, letters set apart by blanks) becomes a lattice: each sign may
 stand for letters, for nothing, or, if it hides one, for any letter; a letter
 that repeats may count once or twice.  Viterbi decoding under a trigram model of
 characters, the mean of the corpus's and of the learnt lexicon's, picks the
-restored word.  Words and their beginnings score by smoothed log-odds learnt
-from training labels; a text is as toxic as its worst words.
+restored word.  In a run of letters set apart every gap may also end a word, and
+each word found counts.  Words and their beginnings score by smoothed log-odds
+learnt from training labels; a text is as toxic as its worst words.
 
 The character counts come from all training-fold texts; the lexicon is fitted on
 at most `sample_rows` labelled training rows of at most `sample_bytes` bytes, one
@@ -14,7 +15,7 @@ of each group of equal texts with the same label.
 
 Cases: null and empty texts have score 0; texts count whole; without labels all
 scores are 0; tokens above 64 characters are no words and are scored as they
-stand; rows with equal ids are scored one by one; other columns are not looked at.
+stand, runs of letters set apart count at any length; rows with equal ids are scored one by one; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _EDGE = re.compile(r"^[^\w@$*!|+(#%&^]+|[^\w@$*!+#%&^]+$")
 _TRAIL = re.compile(r"[^\w]+$")
 _APART = re.compile(r"(?<!\S)(?:[^\W\d_]|[@$*!|+\d])(?:[ .\-_*]{1,2}(?:[^\W\d_]|[@$!|+\d])){2,}(?!\S)")
+_STEP = re.compile(r"([ .\-_*]{1,2})([^ .\-_*])")
 _TAIL = re.compile(r"[^\w]{2,}$")
 _PUNCTUATION = ".,;:?\"'()[]{}<>\u00ab\u00bb\u201c\u201d\u2026-_/\\"
 _SIGNS = "".join(c for c in SIGNS if not c.isalnum())
@@ -111,10 +113,46 @@ class Channel:
             best = following
         return max((score + log[a][b][0], text) for (a, b), (score, text) in best.items())[1]
 
+    def words(self, run: str) -> list[str]:
+        """Words of a run of letters set apart, those with two real letters at least; a wide gap ends a word more easily."""
+        steps = [("", run[0]), *_STEP.findall(run[1:])]
+        narrow = min(len(gap) for gap, _ in steps[1:])
+        log, best = self.log, {(0, 0): (0.0, None)}
+        for i, (gap, c) in enumerate(steps):
+            if i:
+                price = 0.5 if len(gap) == narrow else 2.0
+                score, trail = max(((score + log[a][b][0], trail) for (a, b), (score, trail) in best.items()), key=lambda x: x[0])
+                if (0, 0) not in best or score + price > best[0, 0][0]:
+                    best[0, 0] = (score + price, (trail, " ", False))
+            if c in SIGNS:
+                may = self.options(c)[0]
+            else:
+                may = [(c, -0.2), ("", -0.5)] if i and c == steps[i - 1][1] and len(gap) == narrow else [(c, 0.0)]
+            following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, trail) in best.items():
+                for letter, price in may:
+                    p, at = score + price, (a, b)
+                    if letter:
+                        z = LETTERS.find(letter) + 1
+                        p, at = p + log[a][b][z], (b, z)
+                    have = following.get(at)
+                    if have is None or p > have[0]:
+                        following[at] = (p, (trail, letter, letter == c) if letter else trail)
+            best = following
+        trail = max(((score + log[a][b][0], trail) for (a, b), (score, trail) in best.items()), key=lambda x: x[0])[1]
+        found: list[list[tuple[str, bool]]] = [[]]
+        while trail:
+            trail, letter, real = trail
+            if letter == " ":
+                found.append([])
+            else:
+                found[-1].append((letter, real))
+        return ["".join(x[0] for x in reversed(word)) for word in found if sum(x[1] for x in word) >= 2]
+
 
 def disguised(token: str) -> bool:
     letters = sum(c.isalpha() for c in token)
-    return 2 <= letters and 2 * len(token) <= 5 * letters and len(token) <= LONGEST and (letters < len(token) or _TRIPLE.search(token) is not None)
+    return 2 <= letters and len(token) <= LONGEST and (letters < len(token) or _TRIPLE.search(token) is not None)
 
 
 class Lexicon:
@@ -177,11 +215,12 @@ class Scorer:
         return value
 
     def restored(self, text: str) -> list[str]:
-        """Tokens of the text, letters set apart joined."""
+        """Tokens of the text, letters set apart joined, as one word and as the words they make."""
         low = text.lower()
         tokens = low.split()
-        if sum(len(t) == 1 for t in tokens) > 2:
-            tokens += [re.sub(r"[ .\-_*]", "", m[0]) for m in _APART.finditer(low)]
+        for m in _APART.finditer(low):
+            tokens.append(re.sub(r"[ .\-_*]", "", m[0]))
+            tokens += self.channel.words(m[0])
         return tokens
 
     def __call__(self, text: str | None) -> float:

@@ -330,6 +330,16 @@ def test_toxicity_learns_from_all_texts_but_equal_ones(spark):
     assert again.lexicon.odds == scorer.lexicon.odds
 
 
+def test_toxicity_letters_apart():
+    counts = np.ones(27**3)
+    toxic = Counter({s: 20 for w in ("stupid", "idiot") for s in toxicity.shapes(w)})
+    scorer = toxicity.Scorer(toxicity.Lexicon(toxic, Counter(), 40, 200, ["stupid", "idiot"] * 20), toxicity.Channel(counts, Counter({"stupid": 20, "idiot": 20})))
+    for text in ("s. t. u. p. i. d", "i--d--i--o--t", "i---d---i---o---t", "such a s t u p i d one", "* s t u p 1 d", " ".join("you" * 15 + "stupid" + "you" * 15)):
+        assert scorer(text) >= 0.5, text
+    for text in ("1 0 1 0 7", "a b c d e f", "x " * 5000, "p. 12 - 14", "2024-01-01t00:00:00z"):
+        assert scorer(text) < 0.5, text
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
