@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, language_id, minhash, packing, suffix_dedup, topk, toxicity, window_dedup
+from . import chat, decontaminate, duplicates, html_extract, language_id, minhash, packing, suffix_dedup, topk, toxicity, window_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,8 +80,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), (fold("id") == 0).alias("held_out"), "score", "predicted")
 
 
+def shingle_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_packing, op4_language_id, op5_top_k, op6_chat_format, op7_minhash, op8_substring_dedup, op9_html_extract, op10_toxicity)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_packing, op4_language_id, op5_top_k, op6_chat_format, op7_minhash, op8_substring_dedup, op9_html_extract, op10_toxicity, shingle_duplicates)}
 
 
 _OP5 = """

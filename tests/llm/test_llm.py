@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, decontaminate, html_extract, language_id, minhash, packing, suffix_dedup, tokens, topk, toxicity, window_dedup
+from factloom.llm import chat, decontaminate, duplicates, html_extract, language_id, minhash, packing, suffix_dedup, tokens, topk, toxicity, window_dedup
 
 AWKWARD = [(1, None), (2, ""), (3, "ab " * 200), (4, "é" * 150), (5, "é" * 150 + "q"), (6, "x" * 199), (7, "w" * 40_000), (7, "w" * 40_000), (None, "z"), (8, " \n\t ")]
 
@@ -306,6 +306,29 @@ def test_common_lines():
         assert all(a[i] in it for i in got)
 
 
+def test_shingle_duplicates(spark):
+    from __spark_entry__ import queries
+
+    assert "shingle_duplicates" in queries()
+    rng = random.Random(12)
+    rows = []
+    for g in range(12):
+        words = ["".join(rng.choices("abcdeé", k=5)) for _ in range(120)]
+        for _ in range(5):
+            own = [w if rng.random() > 0.006 else "new" for w in words] + ["tail"] * rng.choice([0, 0, 8, 60])
+            rows.append((rng.randrange(10_000), rng.choice([" ", "  ", "\n", ", "]).join(own)))
+    rows += [(20_001, "!? " * 100), (20_002, "?! " * 100), (20_003, "short"), (20_004, "short"), (20_005, None), (None, rows[0][1]), (20_006, rows[3][1]), (20_006, rows[3][1])]
+    bodies = [(i, " ".join(t.split())) for i, t in rows if i is not None and t is not None]
+    bodies = [(i, b, duplicates.shingles(re.findall(r"\w+", b.lower()))) for i, b in sorted(bodies) if len(b) >= 200]
+    want = []
+    for i, b, s in bodies:
+        like = [(j, b != c) for j, c, o in bodies if j < i and (b == c or min(len(b), len(c)) / max(len(b), len(c)) >= 0.8 and len(s & o) / len(s | o) >= 0.9)]
+        if like:
+            want.append((i, min(like)[0], not min(like)[1]))
+    got = duplicates.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {x[2] for x in want} == {True, False}
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     words = ["".join(rng.choices("bcdfglmnprtvaeiou", k=6)) for _ in range(400)]
