@@ -75,7 +75,8 @@ def _best(qid, q, vid, v, k):
     small = (float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * max(1, q.shape[1])) < 2**53
     score = (q.astype(float) @ v.T.astype(float)).astype(np.int64) if small else q.astype(np.int64) @ v.T.astype(np.int64)
     key = score * n - np.arange(n)
-    key[qid[:, None] == vid[None, :]] = np.iinfo(np.int64).min
+    own = np.iinfo(np.int64).min + 1  # its negative is a number still
+    key[qid[:, None] == vid[None, :]] = own
     at = np.argpartition(-key, min(k, n) - 1, axis=1)[:, : min(k, n)] if n > k else np.tile(np.arange(n), (len(qid), 1))
-    got = np.take_along_axis(key, at, 1) != np.iinfo(np.int64).min
+    got = np.take_along_axis(key, at, 1) != own
     return np.repeat(qid, at.shape[1])[got.ravel()], vid[at][got], np.take_along_axis(score, at, 1)[got]

@@ -272,6 +272,17 @@ def test_chat_round_trip(spark):
         assert r.loss == "".join(w[3] for w in want if w[2] == "assistant")
 
 
+def test_best_keeps_all_of_a_shard():
+    rng = np.random.Generator(np.random.PCG64(3))
+    v = rng.integers(-50, 50, (40, 8))
+    ids = np.arange(40)
+    for k in (1, 5, 39, 40):
+        q, found, score = topk._best(ids, v, ids, v, k)
+        for i in ids:
+            order = sorted((-int(v[i] @ v[j]), j) for j in ids if j != i)[:k]
+            assert sorted(zip((-score[q == i]).tolist(), found[q == i].tolist()))[:k] == order
+
+
 def test_html(spark):
     article = "<article><h1>T &amp; x</h1><p><b>one\n two<br>three<p>four</article>"
     page = lambda body: f"<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><a>Home</a></nav><!-- x --><div class='ad'>buy</div>{body}<footer>&copy; f</footer></body></html>"
