@@ -3,23 +3,27 @@
 Pages are sorted by host and URL path; each is paired with the neighbour of its
 host that shares the longer beginning of the path (at a tie the one before).
 The lines of text of both are aligned by longest common subsequence and shared
-lines are deleted, for they are the site's and not the page's, inside an
-`article` or `main` element too.  If a page has such an element, only its lines
-count.  Lines in navigation, headers and footers of the page, asides, forms,
-scripts, styles, adverts, notices and comments never count.  A page that shares
-four fifths of the text that counts is a version of this one: it deletes
-nothing, and the neighbour on the other side stands in for it.
+lines are deleted, for they are the site's and not the page's.  If a page has an
+`article` or `main` element, only its lines count, and one of them is deleted only
+if the neighbour on the other side shares it as well: a sentence that two articles
+have in common by chance is no notice of the site.  Lines in navigation, headers
+and footers of the page, asides, forms, scripts, styles, adverts, notices and
+comments never count.  A page that shares four fifths of the text that counts is a
+version of this one and has no vote.
 
 Cases: null or empty html gives empty text; markup may be unclosed or broken;
 a null URL is a host of its own; equal pages keep each its text; other columns
-are not looked at.  Hosts of any size are sorted by range, so a hot one is split;
-a page at the border of a range sees the neighbour on one side only.
+are not looked at.  A first pass sorts the urls alone and cuts them into
+stretches; only the first and last of each come to the driver.  The pages go to
+the task of their stretch, and those at its borders to the next one too, so a hot
+host is split and every page sees both its neighbours.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -155,15 +159,22 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
 
 
 def main_text(own: list[tuple[str, bool, bool]], others: list[list[tuple[str, bool, bool]]]) -> str:
-    """The lines that count less those shared with the first of the other pages that is no version of this one."""
+    """The lines that count less those shared with the others, the nearest page first.
+
+    Structure speaks for a line inside article or main, so two pages must share it;
+    any other line goes if the nearest page has it.
+    """
     only_main = any(main and not boiler for _, main, boiler in own)
     counts = [i for i, (_, main, boiler) in enumerate(own) if not boiler and (main or not only_main)]
     size = sum(len(own[i][0]) for i in counts)
+    votes: list[set[int]] = []
     for other in others:
         gone = common_lines([x[0] for x in own], [x[0] for x in other])
         if 5 * sum(len(own[i][0]) for i in counts if i in gone) < 4 * size:
-            counts = [i for i in counts if i not in gone]
-            break
+            votes.append(gone)
+    need = 2 if only_main else 1
+    if len(votes) >= need:
+        counts = [i for i in counts if not all(i in gone for gone in votes[:need])]
     return "\n\n".join(own[i][0] for i in counts)
 
 
@@ -176,26 +187,71 @@ def _shared(a: str, b: str) -> int:
     return n
 
 
+_ORDER = ("host", "path", "id", "h")
+
+
+def _keys(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Sort keys of the rows, in an order that is Spark's: nulls first, text by its bytes."""
+    for host, path, name, h in zip(*(batch.column(c).to_pylist() for c in _ORDER), strict=True):
+        yield host, path, name is not None, name or 0, h
+
+
+def _borders(rows: DataFrame, parts: int) -> tuple[list[tuple], list[tuple]]:
+    """First and last key of about `parts` stretches of the sorted pages, all that comes to the driver."""
+    size = max(64, -(-rows.count() // parts))
+    kind = pa.list_(pa.struct([("a", pa.string()), ("b", pa.string()), ("c", pa.bool_()), ("d", pa.int64()), ("e", pa.int64())]))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends: list[tuple] = []
+        n, last = 0, None
+        for batch in batches:
+            for key in _keys(batch):
+                if last is None or n >= size and key != last:
+                    ends += [key] if last is None else [last, key]
+                    n = 0
+                n, last = n + 1, key
+        if last is not None:
+            ends.append(last)
+        yield pa.record_batch({"ends": pa.array([[dict(zip("abcde", k, strict=True)) for k in ends]], kind)})
+
+    light = rows.select(*_ORDER).repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER)
+    found = light.mapInArrow(lean(walk), "ends array<struct<a:string,b:string,c:boolean,d:long,e:long>>").collect()
+    pairs = sorted((tuple(r["ends"][i]), tuple(r["ends"][i + 1])) for r in found for i in range(0, len(r["ends"]), 2))
+    return [a for a, _ in pairs], [b for _, b in pairs]
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text for each page."""
     site = F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(F.coalesce(url_col, F.lit("")), r"^(?:[a-zA-Z][\w+.-]*://[^/?#]*)?([^?#]*)", 1)
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.regexp_replace(site, r"^(www|m)\.", "").alias("host"), path.alias("path"))
-    order = ["host", "path", "id", F.xxhash64("html")]
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.regexp_replace(site, r"^(www|m)\.", "").alias("host"), path.alias("path"), F.xxhash64(html_col).alias("h"))
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    starts, ends = _borders(rows, 4 * tasks)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, part, guest = [], [], []
+            for i, key in enumerate(_keys(batch)):
+                at = max(0, bisect_right(starts, key) - 1)
+                row.append(i), part.append(at), guest.append(False)
+                for other, edge, next_to in ((at - 1, starts, ends), (at + 1, ends, starts)):
+                    if 0 <= other < len(starts) and key == edge[at] and next_to[other][0] == key[0]:
+                        row.append(i), part.append(other), guest.append(True)
+            yield batch.take(pa.array(row, pa.int64())).append_column("part", pa.array(part, pa.int64())).append_column("guest", pa.array(guest, pa.bool_()))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def walk():
             for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in ("id", "url", "host", "path", "html")), strict=True)
+                yield from zip(*(batch.column(c).to_pylist() for c in ("id", "url", "host", "path", "part", "guest", "html")), strict=True)
 
         done: list[tuple] = []
         before = here = None
         for row in _with_end(walk()):
-            ahead = None if row is None else (*row[:4], lines_of(row[4] or ""))
-            if here is not None:
-                near = [x for x in (before, ahead) if x is not None and x[2] == here[2]]
+            ahead = None if row is None else (*row[:6], lines_of(row[6] or ""))
+            if here is not None and not here[5]:
+                near = [x for x in (before, ahead) if x is not None and x[2] == here[2] and x[4] == here[4]]
                 near.sort(key=lambda x: -_shared(x[3], here[3]))
-                done.append((here[0], here[1], main_text(here[4], [x[4] for x in near])))
+                done.append((here[0], here[1], main_text(here[6], [x[6] for x in near])))
                 if len(done) >= 500:
                     yield _batch(done)
                     done = []
@@ -203,7 +259,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         if done:
             yield _batch(done)
 
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(read), "id long, url string, text string")
+    dealt = rows.mapInArrow(lean(deal), "id long, url string, html string, host string, path string, h long, part long, guest boolean")
+    return dealt.repartition(tasks, "part").sortWithinPartitions("part", *_ORDER).drop("h").mapInArrow(lean(read), "id long, url string, text string")
 
 
 def _with_end(rows):
