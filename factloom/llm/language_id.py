@@ -5,8 +5,9 @@ back to the n-grams of the padded word, the longest order first, down to single
 characters: the first order of which at least half the grams are known scores it.
 
 The model is fitted on a bounded sample: at most `sample_rows` training rows of
-at most `sample_bytes` bytes each, those of the least hashes of their ids, so
-driver memory and the size of the model do not grow with the input.
+at most `sample_bytes` bytes each, shared out equally among the languages, those
+of the least hashes in each, so driver memory and the size of the model do not
+grow with the input.  Only where a language has no other text are longer ones cut.
 
 Cases: null text, and text without a letter, is `und` with score 0; texts count
 whole, however long; a table without training rows makes every row `und`; rows
@@ -15,20 +16,20 @@ with equal ids are scored one by one; other columns are not looked at.
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .memory import lean
 from .rolling import slices
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}+")
 SAMPLE_ROWS, SAMPLE_BYTES, ORDERS = 4000, 20_000, (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 
@@ -122,17 +123,38 @@ class Scorer:
         return self.model.langs[best], float(odds[best] / odds.sum())
 
 
-def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    rows = docs.where(train & F.col(lang_col).isNotNull()).withColumn("_h", F.xxhash64(id_col))
-    some, n = rows, rows.count()
-    if n > 2 * sample_rows:  # only rows that can be chosen leave their tasks
-        some = rows.where(F.col("_h") < F.lit(int(1.5 * sample_rows / n * 2**64) - 2**63))
-    return Model(_least(some, text_col, lang_col, sample_rows, sample_bytes) or _least(rows, text_col, lang_col, sample_rows, sample_bytes))
+def quotas(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """Rows of each language in a sample of `rows`: equal shares, what small languages leave goes to the others; one at least."""
+    out, left = {}, max(rows, len(counts))
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, left // (len(counts) - i))
+        left -= out[lang]
+    return out
 
 
-def _least(rows: DataFrame, text_col: str, lang_col: str, sample_rows: int, sample_bytes: int) -> list[tuple[str, str]]:
-    short = rows.where(F.col(text_col).isNotNull() & (F.octet_length(text_col) <= sample_bytes)).select("_h", F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    return [(r[0], r[1]) for r in short.orderBy("_h", "lang", "text").limit(sample_rows).select("text", "lang").collect()]
+def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Languages are few: their names and counts come to the driver."""
+    rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    long = F.octet_length(text_col) > sample_bytes
+    rows = rows.select(F.xxhash64(id_col, text_col).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), long.alias("long"))
+    counts = {(r["lang"], r["long"]): r["n"] for r in rows.groupBy("lang", "long").agg(F.count("*").alias("n")).collect()}
+    langs = {lang for lang, _ in counts}
+    total = {lang: counts.get((lang, False), 0) or counts.get((lang, True), 0) for lang in langs}
+    some: list[tuple[str, str]] = []
+    quota = quotas(total, sample_rows)
+    for is_long in (False, True):  # long texts, cut, stand in for a language without any other
+        wanted = {lang: quota[lang] for lang in langs if (counts.get((lang, False), 0) > 0) != is_long}
+        if wanted:
+            # the least hashes of each language: a few more than wanted leave their tasks, the driver keeps the first
+            border = {lang: min(2**63 - 1, int((1.5 * n + 40) / total[lang] * 2**64) - 2**63) for lang, n in wanted.items()}
+            least = F.create_map(*(F.lit(x) for lang, h in border.items() for x in (lang, h)))
+            near = rows.where((F.col("long") == is_long) & (F.col("h") <= least[F.col("lang")]))
+            taken: Counter = Counter()
+            for r in near.select("h", "lang", F.substring("text", 1, sample_bytes).alias("text")).orderBy("h", "lang", "text").limit(2 * sum(wanted.values()) + 80 * len(wanted)).collect():
+                if taken[r["lang"]] < wanted[r["lang"]]:
+                    taken[r["lang"]] += 1
+                    some.append((r["text"], r["lang"]))
+    return Model(some)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
