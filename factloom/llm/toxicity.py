@@ -11,11 +11,12 @@ learnt from training labels; a text is as toxic as its worst words.
 
 The character counts come from all training-fold texts; the lexicon is fitted on
 at most `sample_rows` labelled training rows of at most `sample_bytes` bytes, one
-of each group of equal texts with the same label.
+of each group of equal texts with the same label.  Only counts of word shapes and
+the lexicon's shapes in each toxic row come to the driver.
 
 Cases: null and empty texts have score 0; texts count whole; without labels all
-scores are 0; tokens above 64 characters are no words and are scored as they
-stand, runs of letters set apart count at any length; rows with equal ids are scored one by one; other columns are not looked at.
+scores are 0; tokens and runs of letters set apart are decoded at any length;
+rows with equal ids are scored one by one; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ from .memory import lean
 from .rolling import column_bytes, slices
 
 SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 50_000
-LONGEST = 64
 # fixed values: what a sign of the usual substitutions can stand for; "?" is any letter
 SIGNS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -97,10 +97,10 @@ class Channel:
         return out
 
     def decode(self, token: str) -> str:
-        log, best = self.log, {(0, 0): (0.0, "")}
+        log, best = self.log, {(0, 0): (0.0, None)}
         for may in self.options(token):
-            following: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in best.items():
+            following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, trail) in best.items():
                 for letters, price in may:
                     p, x, y = score + price, a, b
                     for c in letters:
@@ -109,9 +109,14 @@ class Channel:
                         x, y = y, z
                     have = following.get((x, y))
                     if have is None or p > have[0]:
-                        following[x, y] = (p, text + letters)
+                        following[x, y] = (p, (trail, letters) if letters else trail)
             best = following
-        return max((score + log[a][b][0], text) for (a, b), (score, text) in best.items())[1]
+        trail = max(((score + log[a][b][0], trail) for (a, b), (score, trail) in best.items()), key=lambda x: x[0])[1]
+        found = []
+        while trail:
+            trail, letters = trail
+            found.append(letters)
+        return "".join(reversed(found))
 
     def words(self, run: str) -> list[str]:
         """Words of a run of letters set apart, those with two real letters at least; a wide gap ends a word more easily."""
@@ -152,30 +157,35 @@ class Channel:
 
 def disguised(token: str) -> bool:
     letters = sum(c.isalpha() for c in token)
-    return 2 <= letters and len(token) <= LONGEST and (letters < len(token) or _TRIPLE.search(token) is not None)
+    return 2 <= letters and (letters < len(token) or _TRIPLE.search(token) is not None)
 
 
-class Lexicon:
+def log_odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, least: float = 10.0) -> dict[str, float]:
     """Log-odds of word shapes that toxic rows hold more often than chance (likelihood ratio of at least `least`) explains."""
+    out = {}
+    prior = math.log((n_toxic + 1) / (n_clean + 1))
+    share = (n_toxic + 1) / (n_toxic + n_clean + 2)
+    for shape, n in toxic.items():
+        c = clean[shape]
+        ratio = n * math.log(n / ((n + c) * share)) + (c * math.log(c / ((n + c) * (1 - share))) if c else 0.0)
+        if n > share * (n + c) and ratio >= least:
+            odds = math.log((n + 0.1) / (n_toxic + 1)) - math.log((clean[shape] + 0.1) / (n_clean + 1)) + prior
+            if odds > 3.0:
+                out[shape] = odds
+    return out
+
 
-    def __init__(self, toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, docs: list[str], least: float = 10.0):
-        self.odds = {}
-        prior = math.log((n_toxic + 1) / (n_clean + 1))
-        share = (n_toxic + 1) / (n_toxic + n_clean + 2)
-        for shape, n in toxic.items():
-            c = clean[shape]
-            ratio = n * math.log(n / ((n + c) * share)) + (c * math.log(c / ((n + c) * (1 - share))) if c else 0.0)
-            if n > share * (n + c) and ratio >= least:
-                odds = math.log((n + 0.1) / (n_toxic + 1)) - math.log((clean[shape] + 0.1) / (n_clean + 1)) + prior
-                if odds > 3.0:
-                    self.odds[shape] = odds
-        self.cover(docs, 2)
+class Lexicon:
+    """Word shapes and their log-odds. held: those of them that each toxic training row holds."""
+
+    def __init__(self, odds: dict[str, float], toxic: Counter, held: list[list[str]]):
+        self.odds = odds
+        self.cover([set(x) for x in held], 2)
         self.words = Counter({s: n for s, n in toxic.items() if s in self.odds and not s.endswith("+")})
         self.begins = {s.rstrip("+")[:4] for s in self.odds}
 
-    def cover(self, docs: list[str], least: int) -> None:
+    def cover(self, held: list[set[str]], least: int) -> None:
         """Keep what tells toxic rows that stronger shapes don't, or a 25th of all: words that only stand beside others go."""
-        held = [{s for w in words_of(t) for s in shapes(w)} & self.odds.keys() for t in docs]
         at: dict[str, set[int]] = {}
         for i, found in enumerate(held):
             for s in found:
@@ -273,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     def shapes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = [0, 0]
         seen = [Counter(), Counter()]
-        for batch in batches:
+        for batch in slices(batches, "text"):
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 n[y > 0] += 1
                 seen[y > 0].update({s for w in words_of(text) for s in shapes(w)})
@@ -284,7 +294,16 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     kept = sums.where((F.col("shape") == "") | ((F.col("toxic") >= 3) & (F.col("toxic") > F.col("clean") / 8))).collect()
     n = next(((r["clean"], r["toxic"]) for r in kept if r["shape"] == ""), (0, 0))
     kept = [r for r in kept if r["shape"]]
-    lexicon = Lexicon(Counter({r["shape"]: r["toxic"] for r in kept}), Counter({r["shape"]: r["clean"] for r in kept}), n[1], n[0], [r[0] for r in rows.where("y > 0").select("text").collect()])
+    toxic, clean = (Counter({r["shape"]: r[c] for r in kept}) for c in ("toxic", "clean"))
+    odds = log_odds(toxic, clean, n[1], n[0])
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found = [sorted({s for w in words_of(t) for s in shapes(w)} & odds.keys()) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch({"held": pa.array(found, pa.list_(pa.string()))})
+
+    lists = rows.where("y > 0").select("text").mapInArrow(lean(held), "held array<string>").where(F.size("held") > 0).collect()
+    lexicon = Lexicon(odds, toxic, [r["held"] for r in lists])
     return Scorer(lexicon, Channel(letter_counts(texts, "text"), lexicon.words))
 
 
@@ -294,7 +313,7 @@ def toxicity(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in slices(batches, "text"):
             found = [own(t) for t in batch.column("text").to_pylist()]
             yield pa.record_batch({"id": batch.column("id"), "score": pa.array(found, pa.float64()), "predicted": pa.array([int(s >= 0.5) for s in found], pa.int32())})
 
