@@ -126,6 +126,7 @@ def test_minhash(docs, empty, percent):
 def test_minhash_near_the_threshold(spark, monkeypatch):
     """Many copies just over and under the threshold, over several tiles and blocks."""
     monkeypatch.setattr(minhash, "TILE", 16)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)
     rng = random.Random(3)
     base = [rng.choice("abcdefgh") + str(rng.randrange(500)) for _ in range(150)]
     rows = []
@@ -196,8 +197,7 @@ def test_tokens_match_the_library():
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    lib.encode_special_tokens = True
-    some = ["", "  ", "a  b", "it's 'tis ''s", "\n\n a\n b \n", "x\t\ty  ", "é à\xa0b  c\xa0 d", "日本 a", "12 3a4 ¼²", "<|endoftext|>", *(t for _, t in corpus())]
+    some = ["", "  ", "a  b", "it's 'tis ''s", "\n\n a\n b \n", "x\t\ty  ", "é à\xa0b  c\xa0 d", "日本 a", "12 3a4 ¼²", "<|endoftext|>", "a <|endoftext|> b's<|endoftext|><|endoftext|>", *(t for _, t in corpus())]
     ids, at = tokens.encode(some)
     assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(some))] == [e.ids for e in lib.encode_batch(some, add_special_tokens=False)]
 
@@ -277,7 +277,7 @@ def test_best_keeps_all_of_a_shard():
     v = rng.integers(-50, 50, (40, 8))
     ids = np.arange(40)
     for k in (1, 5, 39, 40):
-        q, found, score = topk._best(ids, v, ids, v, k)
+        _, q, found, score = topk._best(ids, ids, v, ids, v, k)
         for i in ids:
             order = sorted((-int(v[i] @ v[j]), j) for j in ids if j != i)[:k]
             assert sorted(zip((-score[q == i]).tolist(), found[q == i].tolist()))[:k] == order
@@ -300,7 +300,8 @@ def test_html_shared_lines_in_articles(spark):
     menu = "<div>" + "</div><div>".join(f"a long entry of the menu of all pages, number {i}" for i in range(20)) + "</div>"
     rows += [(4 + i, f"http://m.org/{i}", f"<body><nav>{menu}</nav><div>same words</div><div>only here {i}{i}</div></body>") for i in range(2)]
     got = {r.id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
-    assert [got[i] for i in range(3)] == [f"{t[:14]}\n\n{t}" for t in own]
+    shared = "\n\nshare this with friends"  # goes where pages on both sides have it; a version has no vote
+    assert [got[i] for i in range(3)] == [f"{t[:14]}\n\n{t}{x}" for t, x in zip(own, (shared, "", shared))]
     assert own[2] in got[3] and got[4] == "only here 00" and got[5] == "only here 11"
 
 
@@ -367,7 +368,7 @@ def test_toxicity_learns_from_all_texts_but_equal_ones(spark):
 def test_toxicity_letters_apart():
     counts = np.ones(27**3)
     toxic = Counter({s: 20 for w in ("stupid", "idiot") for s in toxicity.shapes(w)})
-    scorer = toxicity.Scorer(toxicity.Lexicon(toxic, Counter(), 40, 200, ["stupid", "idiot"] * 20), toxicity.Channel(counts, Counter({"stupid": 20, "idiot": 20})))
+    scorer = toxicity.Scorer(toxicity.Lexicon(toxicity.log_odds(toxic, Counter(), 40, 200), toxic, [toxicity.shapes("stupid"), toxicity.shapes("idiot")] * 20), toxicity.Channel(counts, Counter({"stupid": 20, "idiot": 20})))
     for text in ("s. t. u. p. i. d", "i--d--i--o--t", "i---d---i---o---t", "such a s t u p i d one", "* s t u p 1 d", " ".join("you" * 15 + "stupid" + "you" * 15)):
         assert scorer(text) >= 0.5, text
     for text in ("1 0 1 0 7", "a b c d e f", "x " * 5000, "p. 12 - 14", "2024-01-01t00:00:00z"):
