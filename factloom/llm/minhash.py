@@ -11,17 +11,19 @@ Below that distance, of `distance // 2 + 1` chunks one has at most one error
 enumerates one error: all pairs under the distance meet under some key.
 
 Equal sets collapse into a class first.  The centre of a key is the class under it
-that meets most others; a class is paired with its three weightiest centres, and
-the links confirmed on whole sets give components.  Only where a key then still joins different
-components are its classes compared pairwise, by signature and in tiles of
-about 256 by 256, many small ones to a task.  Pairs within the distance leave a tile packed by the blocks of
-their two classes (at most about 256 classes and 1 MB of text, near copies
-together); each pair of blocks fetches its texts once and confirms on whole sets.
+that meets most others; a class is paired with its three weightiest centres, a
+centre's leaves in blocks, and the links confirmed on whole sets give components.
+Only where a key then still joins different components are its classes compared
+pairwise, by signature and in tiles of about 1024 by 1024, many small ones to a
+task.  Pairs within the distance leave a tile packed by the blocks of their two classes (at
+most about 4096 classes and 4 MB of text, near copies together); each pair of
+blocks fetches its texts once and confirms on whole sets.
 So no group emits all its pairs and no link is lost.
 
 Cases: null and empty texts have an empty set and no link; repeated rows are
-copies; rows without id take no part in links and keep themselves; an empty
-table gives an empty result; other columns are not looked at.
+copies; rows of one id are one node, which any of their texts links; rows without
+id take no part in links and keep themselves; an empty table gives an empty
+result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -42,14 +44,14 @@ from .rolling import U64, Prefix, byte_values, column_bytes, mix, slices
 from .shards import PUBLISHED, answer, merged, published
 from .window_dedup import Words
 
-SIZE, SHINGLE, TILE, BLOCK_BYTES, BIN_ROWS, SHARD_ROWS, CENTRES = 128, 5, 256, 1 << 20, 4096, 8000, 3
+SIZE, SHINGLE, TILE, LEAVES, SALTS, BLOCK_ROWS, BLOCK_BYTES, BIN_ROWS, SHARD_ROWS, CENTRES = 128, 5, 1024, 256, 8, 4096, 4 << 20, 4096, 8000, 3
 SIGNED = "id long, n_shingles long, n_bytes long, same binary, sig binary"
 PACKED = "p long, q long, a binary, b binary"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=4)
 def _permutations(size: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(7))
     return rng.integers(0, 1 << 32, size, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, size, dtype=np.uint32)
@@ -136,28 +138,51 @@ def _meeting(classes: DataFrame, n: int, size: int, distance: int) -> DataFrame:
     return rows.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(lean_groups(shared), "key long, id long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """Pairs (a, b) whose sets have 100 * intersection >= percent * union."""
+def _linked(docs: pa.Table, a: np.ndarray, b: np.ndarray, percent: int, shingle: int) -> pa.Table:
+    """The pairs whose sets have 100 * intersection >= percent * union. docs: id, text; an id may have several texts."""
+    sets = [s for part in slices(docs.select(["id", "text"]).to_batches(), "text") for s in shingle_sets(*column_bytes(part.column("text")), shingle)]
+    sizes = np.array([len(s) for s in sets])
+    ids = docs.column("id").to_numpy()
+    order = np.argsort(ids)
+    ids = ids[order]
+    left, right = np.searchsorted(ids, a), np.searchsorted(ids, b)
+    many_a, many_b = np.searchsorted(ids, a, side="right") - left, np.searchsorted(ids, b, side="right") - right
+    pair = np.repeat(np.arange(len(a)), many_a * many_b)
+    nth = np.arange(len(pair)) - np.repeat(np.cumsum(many_a * many_b) - many_a * many_b, many_a * many_b)
+    left, right = order[left[pair] + nth // many_b[pair]], order[right[pair] + nth % many_b[pair]]
+    may = 100 * np.minimum(sizes[left], sizes[right]) >= percent * np.maximum(sizes[left], sizes[right])
+    pair, left, right = pair[may], left[may], right[may]
+    distinct, number = np.unique(np.concatenate(sets), return_inverse=True)
+    numbered = np.split(number, np.cumsum(sizes)[:-1])
+    marked, yes = np.zeros(len(distinct), bool), np.zeros(len(a), bool)
+    first = None
+    for k in np.argsort(left, kind="stable"):
+        i, j = left[k], right[k]
+        if i != first:
+            if first is not None:
+                marked[numbered[first]] = False
+            marked[numbered[i]] = True
+            first = i
+        both = int(np.count_nonzero(marked[numbered[j]]))
+        yes[pair[k]] |= 100 * both >= percent * (sizes[i] + sizes[j] - both)
+    return pa.table({"a": np.maximum(a, b)[yes], "b": np.minimum(a, b)[yes]})
+
+
+def _confirmed(stars: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Links among stars (id, c). A centre's leaves are split into blocks; a task takes many blocks and gets each of its texts once."""
+    pairs = stars.groupBy(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).agg(F.min("c").alias("c"))
+    pairs = pairs.select("c", F.when(F.col("c") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("leaf"))
+    blocks = pairs.groupBy("c").agg(F.ceil(F.count("*") / LEAVES).alias("blocks")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    bins = max(8, -(-4 * (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
+    block = F.pmod(F.xxhash64("leaf"), F.col("blocks"))
+    pairs = pairs.withColumn("salt", F.pmod(F.hash("leaf"), F.lit(SALTS)))
+    pairs = saved(pairs.join(blocks, ["c", "salt"]).select(F.pmod(F.xxhash64("c", block), F.lit(bins)).alias("bin"), "leaf", "c"))
+    need = pairs.select(F.col("bin").alias("home"), F.explode(F.array("leaf", "c")).alias("id")).distinct().join(texts, "id")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, other = None, None
-        for batch in slices(batches, "ta"):
-            sets = list(shingle_sets(*column_bytes(batch.column("ta")), shingle))
-            yes = np.zeros(batch.num_rows, bool)
-            for i, b in enumerate(batch.column("b").to_pylist()):
-                if b != last:
-                    last, other = b, next(shingle_sets(*column_bytes(batch.column("tb").slice(i, 1)), shingle))
-                small, big = sorted((sets[i], other), key=len)
-                if 100 * len(small) < percent * len(big):
-                    continue
-                at = np.searchsorted(big, small)
-                both = int((big[np.minimum(at, len(big) - 1)] == small).sum())
-                yes[i] = 100 * both >= percent * (len(small) + len(big) - both)
-            yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(yes))
+    def check(docs: pa.Table, table: pa.Table) -> pa.Table:
+        return _linked(docs, table.column("c").to_numpy(), table.column("leaf").to_numpy(), percent, shingle)
 
-    one = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    two = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(lean(check), "a long, b long")
+    return need.groupBy("home").cogroup(pairs.groupBy("bin")).applyInArrow(lean_groups(check), "a long, b long")
 
 
 def _tiles(rows: DataFrame, size: int, distance: int, percent: int) -> DataFrame:
@@ -212,27 +237,7 @@ def _confirmed_blocks(packed: DataFrame, texts: DataFrame, percent: int, shingle
         return pa.table({"p": p, "q": q, "id": ids})
 
     def check(docs: pa.Table, table: pa.Table) -> pa.Table:
-        a, b = _unpacked(table)
-        text, offsets = column_bytes(docs.column("text"))
-        sets = list(shingle_sets(text, offsets, shingle))
-        sizes = np.array([len(s) for s in sets])
-        ids = docs.column("id").to_numpy()
-        order = np.argsort(ids)
-        left, right = (order[np.searchsorted(ids, v, sorter=order)] for v in (a, b))
-        distinct, number = np.unique(np.concatenate(sets), return_inverse=True)
-        numbered = np.split(number, np.cumsum(sizes)[:-1])
-        marked, yes = np.zeros(len(distinct), bool), np.zeros(len(a), bool)
-        first = None
-        for k in np.argsort(left, kind="stable"):
-            i, j = left[k], right[k]
-            if i != first:
-                if first is not None:
-                    marked[numbered[first]] = False
-                marked[numbered[i]] = True
-                first = i
-            both = int(np.count_nonzero(marked[numbered[j]]))
-            yes[k] = 100 * both >= percent * (sizes[i] + sizes[j] - both)
-        return pa.table({"a": np.maximum(a, b)[yes], "b": np.minimum(a, b)[yes]})
+        return _linked(docs, *_unpacked(table), percent, shingle)
 
     need = packed.groupBy("p", "q").applyInArrow(lean_group(members), "p long, q long, id long").join(texts, "id")
     return need.groupBy("p", "q").cogroup(packed.groupBy("p", "q")).applyInArrow(lean_groups(check), "a long, b long")
@@ -242,7 +247,7 @@ def _homes(ids: DataFrame, centres: DataFrame, found: DataFrame, classes: DataFr
     """id, block_id: classes with the same component of their weightiest centre, cut by number and bytes."""
     label = found.select(F.col("id").alias("first"), "component")
     rows = ids.join(centres, "id").join(label, "first", "left").select("id", F.coalesce("component", "first").alias("label")).join(classes.select("id", "n_bytes"), "id")
-    blocks = rows.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n_bytes") / BLOCK_BYTES)).alias("blocks"))
+    blocks = rows.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n_bytes") / BLOCK_BYTES)).alias("blocks"))
     return rows.join(blocks, "label").select("id", F.xxhash64("label", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block_id"))
 
 
@@ -254,8 +259,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = saved(classes)
     keys = saved(_meeting(classes.select("id", "sig"), classes.count(), size, distance))
     ids = keys.select("id").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
-    texts = saved(texts)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    texts = saved(texts.groupBy("id", F.xxhash64("text").alias("h")).agg(F.max("text").alias("text")).drop("h"))
 
     counts = keys.groupBy("key").agg(F.count("*").alias("n"))
     weight = keys.join(counts, "key").groupBy("id").agg(F.sum("n").alias("w"))
@@ -266,8 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = keys.join(centre, "key").groupBy("id").agg(F.slice(F.sort_array(others, asc=False), 1, CENTRES).alias("cs"), F.max(heavy).alias("top"))
     met = saved(met.select("id", "cs", (-F.col("top.i")).alias("first")))
     stars = met.select("id", F.explode("cs.i").alias("i")).select("id", (-F.col("i")).alias("c"))
-    pairs = stars.select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct()
-    links = saved(_confirmed(pairs, texts, percent, shingle))
+    links = saved(_confirmed(stars, texts, percent, shingle))
     found = components(links)
 
     placed = keys.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
@@ -282,5 +286,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     whole = classes.select("same", "id").join(found, "id", "left").select("same", F.coalesce("component", "id").alias("component"))
     out = signed.select("id", "n_shingles", "same").join(whole, "same", "left")
-    component = F.coalesce("component", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select("id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = SIZE, shingle: int = SHINGLE) -> DataFrame:
+    """Rows, all columns, one of each group: that of the smallest id, rows without id last.
+
+    Rows are told apart by their place, so rows with null or equal ids are rows
+    of their own.  `docs` must give the same rows in the same order whenever it is
+    read, as saved tables and files do.
+    """
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    found = near_duplicates(numbered, row, text_col, percent, size, shingle).select(F.col("id").alias(row), "component_id")
+    order = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col), F.col(row))
+    first = numbered.select(row, id_col).join(found, row).groupBy("component_id").agg(F.min(order)[row].alias(row))
+    return numbered.join(first.select(row), row, "left_semi").drop(row)
