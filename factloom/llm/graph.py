@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names its shared folder in spark.checkpoint.dir; only where it names none (tests) one is made."""
+    """The cluster names its shared folder in spark.checkpoint.dir; one is made only in local mode, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -25,7 +28,8 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
 
     Alternating stars: neighbours above a node are linked to the least neighbour,
     then those below; the edges end as stars around the least ids.  Minima are
-    aggregated and joined back, so no node's neighbours are gathered.
+    aggregated and joined back, so no node's neighbours are gathered.  The rounds
+    grow with the logarithm of the longest path; beyond `most` an error is raised.
     """
     edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None

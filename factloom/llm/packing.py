@@ -74,7 +74,7 @@ def boundaries(ids: np.ndarray, offsets: np.ndarray, stops: np.ndarray, gap: int
     return every, cost
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, close: int = 0, gap: int = 32, sentence_cost: float = 0.25, middle_cost: float = 1.0, ranks: str | None = None, batch_chars: int = 4 << 20) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, close: int = 0, gap: int = 32, sentence_cost: float = 0.25, middle_cost: float = 1.0, ranks: str | None = None, batch_chars: int = 1 << 20) -> DataFrame:
     """One row a piece: PIECES. ranks: the vocabulary file as tiktoken ranks."""
     ranks = ranks or ranks_path()
     gap = max(1, min(gap, size))

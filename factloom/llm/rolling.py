@@ -12,6 +12,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from .memory import dropped_when_done
+
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -23,6 +25,7 @@ def byte_values(seed: int) -> np.ndarray:
 
 
 _powers: dict[int, np.ndarray] = {}
+dropped_when_done(_powers.clear)
 
 
 def _power(base: int, n: int) -> np.ndarray:

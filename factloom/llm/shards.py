@@ -22,7 +22,7 @@ from pyspark.sql.types import StructType
 from .memory import lean_group, lean_groups
 
 U64 = np.uint64
-SHARD_BYTES = 2 << 20
+SHARD_BYTES, RANGE_BYTES = 2 << 20, 8 << 20
 PUBLISHED = "kind int, rng int, shard int, keys binary, more binary"
 ANSWER = "kind int, rng int, shard int, n int, mask binary, first binary"
 
@@ -36,7 +36,7 @@ class Sharded:
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([kept.alias("rest")] if carry else []))
         self.bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.n = max(8, -(-self.bytes // shard_bytes))
-        self.ranges = max(8, self.n // 4)
+        self.ranges = max(8, -(-self.bytes // RANGE_BYTES))
         self.rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(self.n)).cast("int"))
 
     def publish(self, emit: Callable) -> DataFrame:

@@ -2,8 +2,10 @@
 
 The vocabulary's pre-tokens are found in numpy over code points; each distinct
 one of a batch is encoded once and its ids copied to where it occurs.  Texts
-with an apostrophe (contractions) or code points from U+0250 on are encoded by
-the library as they stand.  Tests hold the ids against `tokenizers`.
+with an apostrophe (contractions), a special token of the vocabulary or code
+points from U+0250 on are encoded by the library as they stand.  A special token
+in a text is its id, as `tokenizers` reads it by default; with an empty
+`specials` it is ordinary text.  Tests hold the ids against `tokenizers`.
 """
 
 from __future__ import annotations
@@ -15,17 +17,22 @@ from itertools import chain
 
 import numpy as np
 
+from .memory import dropped_when_done
+
 _SIMPLE = 0x250
 
 
-@lru_cache(maxsize=1)
-def _encoding(path: str):
+SPECIALS = (("<|endoftext|>", 50256),)
+
+
+@lru_cache(maxsize=2)
+def _encoding(path: str, specials: tuple[tuple[str, int], ...]):
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(specials))
 
 
 @lru_cache(maxsize=1)
@@ -44,17 +51,17 @@ def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def encode(texts: list[str], path: str | None = None, close: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def encode(texts: list[str], path: str | None = None, close: int | None = None, specials: tuple[tuple[str, int], ...] = SPECIALS) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one after the other, and their offsets; `close` ends each text."""
-    enc = _encoding(path or ranks_path())
+    enc = _encoding(path or ranks_path(), specials)
     tail = [] if close is None else [close]
     codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
-    plain = [i for i, c in enumerate(codes) if len(c) and int(c.max()) < _SIMPLE and not (c == 39).any()]
+    plain = [i for i, c in enumerate(codes) if len(c) and int(c.max()) < _SIMPLE and not (c == 39).any() and not any(s in texts[i] for s, _ in specials)]
     parts: list = [None] * len(texts)
     chosen = set(plain)
     for i, t in enumerate(texts):
         if i not in chosen:
-            parts[i] = np.array(enc.encode_ordinary(t) + tail, np.uint32)
+            parts[i] = np.array(enc.encode(t, allowed_special="all") + tail, np.uint32)
     if plain:
         ids, offsets = _encode_plain([texts[i] for i in plain], [codes[i] for i in plain], enc, tail)
         for k, i in enumerate(plain):
@@ -96,6 +103,7 @@ class _Known:
 
 
 _known = _Known()
+dropped_when_done(_known.clear)
 
 
 def _encode_plain(texts: list[str], codes: list[np.ndarray], enc, tail: list[int]) -> tuple[np.ndarray, np.ndarray]:
