@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 
 def _saved(df: DataFrame) -> DataFrame:
+    """The cluster names its shared folder in spark.checkpoint.dir; one is made only in local mode, as in tests."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
@@ -28,15 +32,16 @@ def closure(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> Dat
 
     Each hop joins only the frontier; what is reached is checkpointed, so lineage stays short.
     """
-    seen = _saved(seeds.select(F.col("id"), F.lit(0).alias("depth")).distinct())
-    front, hop = seen, 0
+    edges = _saved(edges.select("src", "dst").distinct())
+    seen = front = _saved(seeds.select(F.col("id"), F.lit(0).alias("depth")).distinct())
+    hop = 0
     while depth is None or hop < depth:
         hop += 1
         front = front.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(hop))
         front = _saved(front)
         if front.isEmpty():
             break
-        seen = _saved(seen.unionByName(front))
+        seen = seen.unionByName(front)  # a union of saved fronts: none is written twice
     return seen
 
 
@@ -103,3 +108,22 @@ def confirmed(evidence: DataFrame, claim: str, source: str, authoritative: Colum
     """Authentication bar: an authoritative entry or two distinct sources, deferred entries aside."""
     counted = F.when(~deferred, F.col(source))
     return evidence.groupBy(claim).agg(F.max((~deferred) & authoritative).alias("authoritative"), F.count_distinct(counted).alias("sources")).withColumn("confirmed", F.col("authoritative") | (F.col("sources") >= 2))
+
+
+def bucketed_overlaps(df: DataFrame, key: str, id_col: str, first: str, last: str, days: int = 92, most: int = 64) -> DataFrame:
+    """(key, one, two) of rows of a key whose closed day ranges overlap, one < two.
+
+    Ranges meet in buckets of `days`; a pair counts in the bucket where the later
+    one begins, so a hot key is dealt by time.  Ranges of more than `most` buckets
+    are few keys' own and meet the others in a join of their key alone.
+    """
+    lo, hi = F.floor(F.datediff(F.col(first), F.lit("1970-01-01")) / days), F.floor(F.datediff(F.col(last), F.lit("1970-01-01")) / days)
+    rows = df.select(F.col(key), F.col(id_col).alias("id"), F.col(first).alias("f"), F.col(last).alias("l"), lo.alias("lo"), hi.alias("hi")).where("f <= l")
+    short, long = rows.where(F.col("hi") - F.col("lo") < most), rows.where(F.col("hi") - F.col("lo") >= most)
+    one = short.withColumn("b", F.explode(F.sequence("lo", "hi"))).select(F.col(key), "b", *(F.col(c).alias(f"{c}1") for c in ("id", "f", "l", "lo")))
+    two = short.withColumn("b", F.explode(F.sequence("lo", "hi"))).select(F.col(key), "b", *(F.col(c).alias(f"{c}2") for c in ("id", "f", "l", "lo")))
+    near = one.join(two, [key, "b"]).where("id1 < id2 and f1 <= l2 and f2 <= l1 and b = greatest(lo1, lo2)")
+    both = rows.select(F.col(key), *(F.col(c).alias(f"{c}2") for c in ("id", "f", "l")), (F.col("hi") - F.col("lo") >= most).alias("_long"))
+    far = long.select(F.col(key), *(F.col(c).alias(f"{c}1") for c in ("id", "f", "l"))).join(both, key).where("id1 <> id2 and f1 <= l2 and f2 <= l1 and (not _long or id1 < id2)")
+    pairs = near.select(key, "id1", "id2").unionByName(far.select(key, "id1", "id2"))
+    return pairs.select(key, F.least("id1", "id2").alias("one"), F.greatest("id1", "id2").alias("two"))
