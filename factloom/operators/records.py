@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StringType
 
 from ..functions.text import tokens
 
@@ -274,32 +277,34 @@ def path_contains(outer: Column, inner: Column) -> Column:
     return (outer == inner) | inner.startswith(F.concat(outer, F.lit(".")))
 
 
-def json_leaves(c: Column) -> Column:
-    """{path: sorted leaf texts} of JSON text, array places as []; null if it isn't JSON. Up to 6 levels are walked."""
-    kind = "array<struct<path:string,json:string>>"
-    start = F.array(F.struct(F.lit("").alias("path"), c.alias("json")))
+@F.pandas_udf(MapType(StringType(), ArrayType(StringType())))
+def json_leaves(texts: pd.Series) -> pd.Series:
+    """{path: sorted leaf texts} of JSON text, array places as []; null if it isn't JSON. Built-ins walk no unknown depth."""
 
-    def step(node: Column) -> Column:
-        keys = F.json_object_keys(node["json"])
-        items = F.from_json(node["json"], "array<string>")
-        under = lambda k: F.struct(F.concat(node["path"], F.when(node["path"] == "", F.lit("")).otherwise(F.lit(".")), k).alias("path"), F.get(F.map_values(F.map_filter(F.from_json(node["json"], "map<string,string>"), lambda a, _: a == k)), F.lit(0)).alias("json"))
-        listed = F.transform(items, lambda v: F.struct(F.concat(node["path"], F.lit("[]")).alias("path"), v.alias("json")))
-        leaf = F.array(node)
-        open_ = F.ltrim(node["json"])
-        return F.coalesce(F.when(open_.startswith("{"), F.transform(keys, under)).when(open_.startswith("["), listed), leaf).cast(kind)
+    def one(text: str | None) -> dict | None:
+        try:
+            todo = [("", json.loads(text))]
+        except (TypeError, ValueError):
+            return None
+        found: dict[str, list[str]] = {}
+        while todo:
+            path, node = todo.pop()
+            if isinstance(node, dict) and node:
+                todo += [(f"{path}.{k}" if path else k, v) for k, v in node.items()]
+            elif isinstance(node, list) and node:
+                todo += [(f"{path}[]", v) for v in node]
+            else:
+                found.setdefault(path, []).append(node if isinstance(node, str) else json.dumps(node))
+        return {k: sorted(v) for k, v in sorted(found.items())}
 
-    found = start.cast(kind)
-    for _ in range(6):
-        found = F.flatten(F.transform(found, step))
-    paths = F.array_sort(F.array_distinct(F.transform(found, lambda x: x["path"])))
-    return F.map_from_arrays(paths, F.transform(paths, lambda p: F.array_sort(F.transform(F.filter(found, lambda x: x["path"] == p), lambda x: F.coalesce(x["json"], F.lit("null"))))))
+    return texts.map(one)
 
 
 def json_changes(a: Column, b: Column) -> Column:
     """Sorted paths whose leaves differ."""
     one, two = json_leaves(a), json_leaves(b)
-    paths = F.array_distinct(F.concat(F.map_keys(one), F.map_keys(two)))
-    return F.array_sort(F.filter(paths, lambda p: ~one[p].eqNullSafe(two[p])))
+    mine, theirs = F.map_entries(one), F.map_entries(two)
+    return F.array_sort(F.array_distinct(F.transform(F.concat(F.array_except(mine, theirs), F.array_except(theirs, mine)), lambda e: e["key"])))
 
 
 def drained(queue: DataFrame, now: Column, n: int, lease: int = 1800, keep_days: int = 7) -> DataFrame:
@@ -309,7 +314,9 @@ def drained(queue: DataFrame, now: Column, n: int, lease: int = 1800, keep_days:
     stale = (F.col("state") == "claimed") & (F.col("claimed_at") < now - F.make_dt_interval(secs=F.lit(lease)))
     gone = (F.col("state") == "result") & (F.col("claimed_at") < now - F.make_dt_interval(days=F.lit(keep_days)))
     state = F.when(F.col("_take"), "claimed").when(stale, "requested").otherwise(F.col("state"))
-    return rows.where(~F.coalesce(gone, F.lit(False))).withColumn("claimed_at", F.when(F.col("_take"), now).when(stale, F.lit(None)).otherwise(F.col("claimed_at"))).withColumn("state", state).drop("_take")
+    claimed = F.when(F.col("_take"), now).when(stale, F.lit(None)).otherwise(F.col("claimed_at"))
+    new = {"state": state.alias("state"), "claimed_at": claimed.alias("claimed_at")}
+    return rows.where(~F.coalesce(gone, F.lit(False))).select(*(new.get(c, F.col(c)) for c in queue.columns))
 
 
 def enqueued(queue: DataFrame, requests: DataFrame, now: Column) -> DataFrame:

@@ -17,15 +17,3 @@ def ndjson_line(spark: SparkSession, path: str, uuid: str) -> DataFrame:
     """The line whose top-level uuid is this one, verbatim; a substring test comes first."""
     lines = spark.read.text(path)
     return lines.where(F.col("value").contains(uuid)).where(F.get_json_object("value", "$.uuid") == uuid)
-
-
-def csv_rows(spark: SparkSession, path: str, **dialect: str) -> DataFrame:
-    return spark.read.options(header=True, multiLine=True, quote='"', escape='"', **dialect).csv(path)
-
-
-def mbox_messages(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of mailbox files: ordinal within the file, headers wanted most, body."""
-    parts = spark.read.text(path, lineSep="\nFrom ").withColumn("at", F.monotonically_increasing_id()).withColumn("file", F.input_file_name())
-    head = F.split("value", "\r?\n\r?\n", 2)
-    field = lambda name: F.nullif(F.regexp_extract(F.get(head, F.lit(0)), rf"(?im)^{name}: ?(.*?)\r?$", 1), F.lit(""))
-    return parts.where(F.length(F.trim("value")) > 0).select("file", "at", field("Message-ID").alias("message_id"), field("From").alias("from_addr"), field("Subject").alias("subject"), field("Date").alias("date_raw"), F.get(head, F.lit(1)).alias("body"), F.sha2("value", 256).alias("content_hash"))
