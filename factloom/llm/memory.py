@@ -1,8 +1,8 @@
 """Python workers outlive their tasks: what a worker no longer needs goes back to the machine.
 
-A worker that turns to another step, or has been idle for a while, drops the
-registered caches and returns free memory of its allocators; steady work of one
-step keeps its pages.
+A worker that turns to a step it was not at lately, or has been idle for a while,
+drops the registered caches and returns free memory of its allocators; steady work
+keeps its pages, also where a worker goes to and fro between the two steps of a stage.
 """
 
 from __future__ import annotations
@@ -36,18 +36,18 @@ def release() -> None:
 
 
 class _Keeper:
-    """The step this process works at; memory goes back when it changes and once nothing ran for IDLE seconds."""
+    """The last two steps of this process; memory goes back when another comes and once nothing ran for IDLE seconds."""
 
     def __init__(self):
-        self.pid, self.busy, self.last, self.used, self.step = None, 0, 0.0, False, None
+        self.pid, self.busy, self.last, self.used, self.steps = None, 0, 0.0, False, []
         self.lock = threading.Lock()
 
     def at(self, step: str) -> _Keeper:
         if self.pid != os.getpid():  # workers are forked; threads are not
-            self.pid, self.busy, self.step, self.lock = os.getpid(), 0, step, threading.Lock()
+            self.pid, self.busy, self.steps, self.lock = os.getpid(), 0, [step], threading.Lock()
             threading.Thread(target=self._watch, daemon=True).start()
-        if self.step != step and not self.busy:
-            self.step = step
+        if step not in self.steps and not self.busy:
+            self.steps = [*self.steps[-1:], step]
             release()
         return self
 
