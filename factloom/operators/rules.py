@@ -111,7 +111,8 @@ def violations(rule: Mapping, ledger: Ledger, types: DataFrame | None = None) ->
         out = held.groupBy("fact_id").agg(F.count("*").alias("n"), listed("claim_id").alias("detail")).where("n > 1")
     elif kind == "temporal-no-overlap":
         span = dates.period_interval(F.col("period"))
-        spans = matching.where("period is not null").select("fact_id", "claim_id", span["first"].alias("first"), span["last"].alias("last")).where("first is not null")
+        # explode keeps the long expression of a period from being copied into every use of its days
+        spans = matching.where("period is not null").select("fact_id", "claim_id", F.explode(F.array(span)).alias("s")).select("fact_id", "claim_id", "s.first", "s.last").where("first is not null")
         out = bucketed_overlaps(spans, "fact_id", "claim_id", "first", "last").withColumn("detail", F.concat_ws(" vs ", "one", "two"))
     elif kind == "requires":
         needed = own.where(F.col("predicate") == rule["requires"]["predicate"]).select("fact_id")
