@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import core, ledger, signals  # noqa: F401  register
+from .plans import checks, core, ledger, signals  # noqa: F401  register
 from .plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "pricing_rollup"

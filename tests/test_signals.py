@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from factloom.functions import captures
-from factloom.operators import signals
+from factloom.operators import findings, signals
 
 
 def one(spark, *columns):
@@ -59,3 +59,19 @@ def test_empty_tables_and_nulls(spark):
     rows = spark.createDataFrame([("r", datetime.date(2020, 1, 1).isoformat()), ("r", " "), ("r", None)], "record_id string, snapshot string")
     none = spark.createDataFrame([], "record_id string, field string, value string")
     assert [tuple(r) for r in signals.timeline(rows, none).collect()] == [("r", "2020-01-01", "origin.snapshot")]
+
+
+def test_findings_of_empty_tables_and_nulls(spark):
+    claim = "predicate string, status string, presence string, value string, object string, attribution string, provenance string, sensitivity string, period string, asof string"
+    empty = spark.createDataFrame([], claim)
+    assert findings.row_findings(empty, F.lit("x"), findings.claim_rules()).count() == 0
+    bare = spark.createDataFrame([(None,) * 10], claim)
+    assert sorted(r.rule for r in findings.row_findings(bare, F.lit("x"), findings.claim_rules()).collect()) == ["bad-status", "no-predicate", "undated"]
+    live = spark.createDataFrame([("a",), ("a",), (None,)], "id string")
+    lineage = spark.createDataFrame([("a", "a"), ("b", "c"), ("c", "a"), ("d", "nowhere"), ("e", None)], "old_id string, to_id string")
+    assert sorted((r.rule, r.place) for r in findings.lineage_findings(lineage, live).collect()) == [("key-lives", "a -> a"), ("no-target", "d -> nowhere"), ("no-target", "e -> "), ("second-hop", "b -> c")]
+    assert [r.place for r in findings.duplicates(live, ["id"], "twice", F.col("id")).collect()] == ["a"]
+    refs = spark.createDataFrame([("f", "a"), ("g", "b"), ("h", None)], "fact_id string, object string")
+    assert [r.place for r in findings.dangling(refs, "object", live, "id", "dangling-object", F.col("fact_id")).collect()] == ["g"]
+    roster = spark.createDataFrame([("f", "u", None), ("f", "v", "u"), ("g", "w", "u")], "fact_id string, uri string, derived_from string")
+    assert [r.place for r in findings.derived_findings(roster).collect()] == ["g/w"]
